@@ -2,15 +2,56 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm import digest_cache, packing, simhash
+from driftframe.llm import chat, digest_cache, gif, langid, packing, redirects, simhash, warc
 from driftframe.llm.common import scratch_path, table
 
 
+def op1_error_correcting_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "runner_up", "ambiguous")
+
+
+def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The media column is made and decoded in one Python step: as a table it would take twice the input's disk."""
+    docs = gif.with_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    @F.arrow_udf("struct<payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string>")
+    def digests(media: pa.Array) -> pa.Array:
+        rows = []
+        for data in media.to_pylist():
+            back, colours, ms = gif.read_back(data)
+            used = [f"{k}:{n}" for k, n in enumerate(colours) if n]
+            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), f"{ms}ms " + ",".join(used)))
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+    return docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), digests("media").alias("d")).select("doc_id", "n_bytes", "d.*")
+
+
+RULES = [
+    redirects.Rule("allow", "org", "/"),
+    redirects.Rule("block", "example.org", "/es/"),
+    redirects.Rule("block", "example.org", "/en/1"),
+    redirects.Rule("allow", "com", "/fr/"),
+    redirects.Rule("block", "com", "/de/"),
+]
+
+
+def op4_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redirects.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES).drop("url", "html")
+
+
 def op5_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts; the cache starts empty, so every distinct text of the table is encoded here."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -23,12 +64,25 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages")).where("is_last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+PLANTED = r"\### Assistant: </turn> ok"
+
+
+def op10_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(turns.unionByName(planted)))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_digest_cache, op6_simhash, op8_best_fit)}
+    return {f.__name__: f for f in (op1_error_correcting_codes, op3_gif, op4_redirect_equivalence, op5_digest_cache, op6_simhash, op7_warc, op8_best_fit, op10_chat_template)}
 
 
 def oracle_sql() -> dict[str, str]:
