@@ -140,7 +140,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     places = spark.createDataFrame(rows, "length long, first_rank long, items long, first_bin long, per_bin long, base long")
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("task", "length", "before")
-    ranked = made.join(bases, ["task", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    ranked = made.join(bases.hint("merge"), ["task", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
     if len(rows) <= BROADCAST_ROWS:
         places = F.broadcast(places)
     at = F.col("rank") - F.col("first_rank")

@@ -65,9 +65,9 @@ def op4_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts; the cache starts empty, so every distinct text of the table is encoded here."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     counted = digest_cache.count_tokens(docs, scratch_path(spark, "token-counts"), public_tokenizers.path("byte_bpe_50k.json"))
-    return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ import os
 import re
 import struct
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _L = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -25,7 +27,7 @@ _KINDS = {
     "word": (re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"), True),
 }
 #: Pre-tokens remembered at most by a worker; beyond it the memory starts anew.
-MEMO = 400_000
+MEMO = 1_000_000
 _open: dict[tuple[str, str], "Encoder"] = {}
 
 
@@ -38,6 +40,24 @@ class Encoder:
         self.library.no_padding()
         self.pattern, self.lower = _KINDS[kind]
         self.memo: dict[str, bytes] = {}
+        #: Of a vocabulary with word ends: whether an id ends its pre-token.
+        self.ends = None
+        if kind == "word":
+            self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
+            self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _learn(self, words: list[str]) -> None:
+        if self.ends is not None:  # one call for all: each pre-token ends with the only id that is a word end
+            ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(words):
+                whole, a = ids.tobytes(), 0
+                for w, b in zip(words, (4 * stops).tolist()):
+                    self.memo[w] = whole[a:b]
+                    a = b
+                return
+        for w, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)):
+            self.memo[w] = _packed(e.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without added special tokens."""
@@ -53,8 +73,7 @@ class Encoder:
                 missing = list({w for w in words if w not in self.memo})
                 if len(self.memo) + len(missing) > MEMO:
                     self.memo, missing = {}, list(set(words))
-                for w, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False)):
-                    self.memo[w] = _packed(e.ids)
+                self._learn(missing)
                 out.append(b"".join(map(self.memo.__getitem__, words)))
         return out
 
