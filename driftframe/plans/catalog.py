@@ -1,11 +1,280 @@
-"""Names of the registered engine queries and their oracle SQL."""
+"""The registered engine queries over the test tables; their oracle SQL is in ``oracle``."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftframe.analyzer import DynamicsAnalyzer
+from driftframe.functions import geometry as G
+from driftframe.functions.constants import BOHR_IN_ANGSTROM
+from driftframe.model import Trajectory, small
+from driftframe.operators import density, grid, kinetic, rdf, recenter, spectrum
+from driftframe.plans import oracle, plotdata, views
+from driftframe.scratch import shared_path
+from driftframe.sources import extxyz, lammps, store, xsf
+from driftframe.sources.text import write_single
+
+MSD = {"t_start_fit_dt": 5, "t_end_fit_dt": 20, "nr_of_blocks": 2}
+VAF = {"t_start_fit_dt": 2, "t_end_fit_dt": 10, "nr_of_blocks": 2}
+GRID_SHAPE = (10, 10, 10)
+DENSITY = density.grid_spec(views.UNIT, 0.1, 1.5, 0.25)
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """All doubles rounded; no negative zeros. Exact ties go up, so that the order of a sum can't decide them."""
+
+    def one(c: str):
+        r = F.round(F.col(c) + 10.0 ** -(digits + 3), digits)
+        return F.when(r == 0, F.lit(0.0)).otherwise(r).alias(c)
+
+    return df.select(*[one(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _ev(spark, d) -> DynamicsAnalyzer:
+    return DynamicsAnalyzer(views.traj_ev(spark, d))
+
+
+def _emb(spark, d) -> DynamicsAnalyzer:
+    return DynamicsAnalyzer(views.traj_emb(spark, d))
+
+
+def _msd(spark, d, table="msd", digits=5, multi=False, **options) -> DataFrame:
+    analyzer = DynamicsAnalyzer(views.halves(views.traj_ev(spark, d))) if multi else _ev(spark, d)
+    return rounded(analyzer.get_msd(**(MSD | options))[table], digits)
+
+
+def _vaf(spark, d, table="vaf", **options) -> DataFrame:
+    return rounded(_emb(spark, d).get_vaf(**(VAF | options))[table], 8)
+
+
+def _recentered(spark, d, view=views.traj_ev, **options) -> DataFrame:
+    return rounded(recenter.recenter(view(spark, d), **options).frames)
+
+
+def indices_of_species(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the chosen species and of one index, with the steps they have."""
+    t = views.traj_ev(spark, d)
+    chosen = t.indices_of_species("O").union(t.indices_of_species(9))
+    return t.of_atoms(chosen).groupBy("traj_id", "atom_idx").agg(F.count("*").alias("n_steps"))
+
+
+def atom_counts(spark: SparkSession, d: str) -> DataFrame:
+    t = views.traj_ev(spark, d)
+    return t.of_atoms(t.atoms, "type").groupBy(F.col("type").alias("species")).agg(F.countDistinct("atom_idx").alias("n_atoms"), F.count("*").alias("n_rows"))
+
+
+def volumes(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(views.traj_emb(spark, d, True).volumes())
+
+
+def rescale_positions(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(views.traj_ev(spark, d).rescale_array("positions", BOHR_IN_ANGSTROM).frames)
+
+
+def set_and_remove_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Forces taken from the velocities, an own per-atom array, velocities removed."""
+    t = views.traj_emb(spark, d)
+    keys = ["traj_id", "step", "atom_idx"]
+    t = t.set_array("forces", t.get_array("velocities").select(*keys, (F.col("vx") * 2).alias("fx"), (F.col("vy") * 2).alias("fy"), (F.col("vz") * 2).alias("fz")))
+    t = t.set_array("charge", t.frames.select(*keys, (F.col("x") + F.col("y")).alias("charge"))).remove_array("velocities")
+    return rounded(t.frames.select(*keys, "x", "fx", "fy", "fz", "charge"))
+
+
+def com(spark: SparkSession, d: str, array: str, **options) -> DataFrame:
+    return rounded(recenter.centre(views.traj_emb(spark, d), array, **options))
+
+
+def velocity_central_diff(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(recenter.velocities_from_positions(views.traj_ev(spark, d)).frames.select("traj_id", "step", "atom_idx", "vx", "vy", "vz"))
+
+
+def frame_slice(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(views.traj_ev(spark, d).slice_steps(7, 90, 3))
+
+
+def snapshot(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(views.traj_emb(spark, d).snapshot(17, with_calculated=False))
+
+
+def kinetic_table(spark: SparkSession, d: str, f: Callable, stepsize: int) -> DataFrame:
+    return rounded(f(views.traj_emb(spark, d), stepsize), 3)
+
+
+def psd(spark: SparkSession, d: str, smothening: int = 1, stats: bool = False, mix_blocks: bool = False) -> DataFrame:
+    t = recenter.velocities_from_positions(views.traj_ev(spark, d))
+    found = spectrum.power_spectrum(t, block_length=50, smothening=smothening, mix_blocks=mix_blocks)
+    return rounded(spectrum.spectrum_stats(found) if stats else found, 4)
+
+
+RADIUS = 0.45
+
+
+def rdf_table(spark: SparkSession, d: str, variable_cell: bool, columns: list[str], pairs=None) -> DataFrame:
+    found = rdf.rdf(views.traj_emb(spark, d, variable_cell), RADIUS, pairs, nbins=15)
+    return rounded(found.select("label", "bin", "radius", *columns))
+
+
+def rdf_hist(spark: SparkSession, d: str) -> DataFrame:
+    return rdf.rdf_counts(views.traj_emb(spark, d), RADIUS, [("H", "O")], nbins=15)
+
+
+def rdf_shortest(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(rdf.rdf_summary(views.traj_emb(spark, d), RADIUS))
+
+
+def rdf_nearest_bin(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(rdf.rdf_nearest_bin(views.traj_emb(spark, d), RADIUS, "H", "O", nbins=15))
+
+
+def angular_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(rdf.angular_spectrum(views.traj_emb(spark, d), RADIUS, [("O", "H", "H"), ("H", "Li", "O")], nbins=18), 4)
+
+
+def density_grid(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(density.gaussian_density(views.traj_emb(spark, d), "H", DENSITY))
+
+
+def density_total(spark: SparkSession, d: str) -> DataFrame:
+    dens = density.gaussian_density(views.traj_emb(spark, d), "O", DENSITY)
+    return rounded(grid.summary(dens))
+
+
+def grid_difference(spark: SparkSession, d: str) -> DataFrame:
+    a = views.grid10(spark, d)
+    return rounded(grid.difference(a, a.where("value > 20").withColumn("value", F.col("value") * 0.5)))
+
+
+def grid_tile(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(grid.tiled(views.grid10(spark, d), GRID_SHAPE, (2, 1, 3)))
+
+
+def grid_pad(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(grid.padded(views.grid10(spark, d), GRID_SHAPE))
+
+
+def grid_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(grid.summary(views.grid10(spark, d)))
+
+
+def grid_log(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(grid.log_density(views.grid10(spark, d).withColumn("value", F.col("value") - 20)), 5)
+
+
+def thermo_join(spark: SparkSession, d: str) -> DataFrame:
+    """Energies of the order keys that line items name, in other units."""
+    steps = views.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("raw_timestep")).distinct()
+    thermo = views.table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("TimeStep"), F.col("o_totalprice").cast("double").alias("PotEng"), F.col("o_custkey").cast("double").alias("Temp"))
+    return rounded(lammps.with_thermo(steps, thermo, "PotEng", None, ["Temp"], 0.5), 4)
+
+
+def thermo_first_row(spark: SparkSession, d: str) -> DataFrame:
+    """The first of the rows that repeat a key."""
+    rows = views.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("TimeStep"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_partkey").cast("long").alias("part"), F.col("l_suppkey").cast("long").alias("supp"))
+    return lammps.first_of(rows, "TimeStep", "line")
+
+
+def nearest_mass(spark: SparkSession, d: str) -> DataFrame:
+    masses = views.table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 300 + 0.3).cast("double").alias("mass"))
+    return rounded(lammps.nearest_element(masses))
+
+
+def fold_positions(spark: SparkSession, d: str) -> DataFrame:
+    t = views.traj_ev(spark, d)
+    cell = G.constant_cell(((7.5, 0, 0), (0, 3.25, 0), (0, 0, 11)))
+    moved = G.folded([F.col("x") - 20, F.col("y"), F.col("z") - 50], cell)
+    return rounded(t.frames.select("step", "atom_idx", *[c.alias(a) for c, a in zip(moved, G.AXES)]))
+
+
+def log_scaled_vectors(spark: SparkSession, d: str) -> DataFrame:
+    t = views.traj_emb(spark, d)
+    return rounded(t.frames.select("step", "atom_idx", *[c.alias(n) for c, n in zip(G.log_scaled(G.vector("fx", "fy", "fz")), ("fx", "fy", "fz"))]))
+
+
+def compat_check(spark: SparkSession, d: str) -> DataFrame:
+    """The ordered types, sizes and steps that trajectories must agree in."""
+    t = views.halves(views.traj_ev(spark, d))
+    types = t.atoms.groupBy("traj_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("atom_idx", "type"))), lambda s: s["type"]), ",").alias("types"))
+    return types.join(t.frames.groupBy("traj_id").agg(F.countDistinct("step").alias("n_steps")), "traj_id")
+
+
+def msd_plot_bands(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(plotdata.band(_ev(spark, d).get_msd(**MSD)["msd_stats"], "t_fs"), 4)
+
+
+def msd_plot_fit_lines(spark: SparkSession, d: str) -> DataFrame:
+    a = _ev(spark, d)
+    return rounded(plotdata.msd_plot(a.get_msd(**MSD), a.params(**MSD))["fits"], 3)
+
+
+# -- sources and sinks: written to the shared folder, then read back ------------------------------
+
+
+def _dump(traj: Trajectory, path: str, scaled: bool) -> str:
+    """A dump file with ids from 1 in falling order, types 1 to 3 and forces."""
+    number = F.when(F.col("type") == "H", 1).when(F.col("type") == "O", 2).otherwise(3)
+    rows = traj.frames.join(small(traj.atoms.select("traj_id", "atom_idx", "type"), traj.nat), ["traj_id", "atom_idx"])
+    body = rows.select("step", (20 - F.col("atom_idx")).alias("row"), F.concat_ws(" ", (F.col("atom_idx") + 1).cast("string"), number.cast("string"), *[F.col(c).cast("string") for c in ("x", "y", "z", "vx", "vy", "vz", "fx", "fy", "fz")]).alias("value"))
+    p = "xs ys zs" if scaled else "xu yu zu"
+    lines = ["ITEM: TIMESTEP", None, "ITEM: NUMBER OF ATOMS", "10", "ITEM: BOX BOUNDS pp pp pp", "0.0 2.0", "0.0 4.0", "-1.0 1.0", f"ITEM: ATOMS id type {p} vx vy vz fx fy fz "]
+    heads = traj.frames.select("step").distinct().select("step", F.posexplode(F.array(*[(F.col("step") * 5).cast("string") if v is None else F.lit(v) for v in lines])).alias("row", "value"))
+    write_single(heads.union(body), path, ["step", "row"])
+    return path
+
+
+def dump_roundtrip(spark: SparkSession, d: str, scaled: bool = False) -> DataFrame:
+    path = _dump(views.traj_emb(spark, d), shared_path(spark, "dump"), scaled)
+    t = lammps.read_dump(spark, path, elements=["H", "O", "Li"], f_conv=2.0, skip=3, istep=2)
+    rows = t.frames.join(t.steps, ["traj_id", "step"]).join(small(t.atoms, t.nat), ["traj_id", "atom_idx"])
+    return rounded(rows.select("step", "raw_timestep", "atom_idx", "type", "x", "y", "z", "vx", "vy", "vz", "fx", "fy", "fz"))
+
+
+def extxyz_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Written with atoms in table order; read back ordered by atomic number (H, Li, O)."""
+    path = shared_path(spark, "extxyz")
+    extxyz.write_extxyz(views.traj_emb(spark, d, True), path)
+    t = extxyz.read_extxyz(spark, path, views.TIMESTEP)
+    return rounded(t.with_cell(t.frames).join(small(t.atoms, t.nat), ["traj_id", "atom_idx"]).select("step", "atom_idx", "type", "x", "y", "z", "vx", "vy", "vz", "fx", "ax", F.col("by").alias("by_")), 5)
+
+
+def xsf_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "xsf")
+    xsf.write_xsf(views.grid10(spark, d), GRID_SHAPE, views.UNIT, [("H", 0.0, 0.1, 0.2)], path, fixed_point=True)
+    return rounded(xsf.read_xsf(spark, path).grid)
+
+
+def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "store")
+    store.save(views.traj_emb(spark, d, True).set_attr("note", "x"), path, by_type=True)
+    t = store.load(spark, path)
+    return rounded(t.with_cell(t.frames).select("step", "atom_idx", "x", "vy", "fz", "ax", F.col("by").alias("by_")))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "indices_of_species": indices_of_species, "atom_counts": atom_counts, "volumes": volumes, "rescale_positions": rescale_positions, "set_and_remove_arrays": set_and_remove_arrays,
+        "recenter_mass": partial(_recentered, view=views.traj_emb), "recenter_geometric": partial(_recentered, mode="geometric"), "recenter_sublattice": partial(_recentered, sublattice=["O", 0]),
+        "com_positions": partial(com, array="positions"), "com_velocities": partial(com, array="velocities"), "com_sublattice": partial(com, array="positions", sublattice=["Li"], mode="geometric"),
+        "velocity_central_diff": velocity_central_diff, "frame_slice": frame_slice, "snapshot": snapshot,
+        "msd_blocks": _msd, "msd_blocks_tau": partial(_msd, stepsize_t=2, stepsize_tau=3), "msd_block_length": partial(_msd, nr_of_blocks=None, block_length_dt=30), "msd_decomposed": partial(_msd, decomposed=True),
+        "msd_long": partial(_msd, table="msd_long", do_long=True, t_long_end_dt=30), "msd_atom_subset": partial(_msd, atom_indices=[1, 3, 6, 7]), "msd_com": partial(_msd, do_com=True), "msd_multi_traj": partial(_msd, multi=True, nr_of_blocks=1),
+        "msd_stats": partial(_msd, table="msd_stats", digits=4), "msd_fits": partial(_msd, table="fits", digits=4), "msd_multi_fit": partial(_msd, table="fits", digits=4, t_start_fit_dt=[0, 8], t_end_fit_dt=[10, 20]),
+        "diffusion_iso": partial(_msd, table="diffusion", digits=4), "diffusion_decomposed": partial(_msd, table="diffusion", digits=4, decomposed=True),
+        "vaf_blocks": _vaf, "vaf_integral_trapezoid": partial(_vaf, stepsize_t=2), "vaf_integral_trapezoid_simple": partial(_vaf, integration="trapezoid-simple"), "vaf_integral_simpson": partial(_vaf, integration="simpson"),
+        "vaf_of_forces": partial(_vaf, array="forces", stepsize_tau=2), "vaf_stats": partial(_vaf, table="vaf_stats"), "vaf_diffusion": partial(_vaf, table="diffusion"), "vaf_com": partial(_vaf, do_com=True),
+        "kinetic_system": partial(kinetic_table, f=kinetic.kinetic_of_system, stepsize=2), "kinetic_species": partial(kinetic_table, f=kinetic.kinetic_by_species, stepsize=1), "kinetic_atoms": partial(kinetic_table, f=kinetic.kinetic_by_atom, stepsize=1), "kinetic_means": partial(kinetic_table, f=kinetic.kinetic_means, stepsize=1),
+        "psd_blocks": psd, "psd_smoothed": partial(psd, smothening=4), "psd_stats": partial(psd, stats=True), "psd_mixed_blocks": partial(psd, smothening=3, mix_blocks=True),
+        "rdf_hist": rdf_hist, "rdf_norm": partial(rdf_table, variable_cell=False, columns=["rdf"]), "rdf_integral": partial(rdf_table, variable_cell=False, columns=["integral"]), "rdf_variable_cell": partial(rdf_table, variable_cell=True, columns=["rdf", "integral"]),
+        "rdf_pair_list": partial(rdf_table, variable_cell=False, columns=["rdf", "integral"], pairs=[([0, "Li"], "H"), (2, "O")]), "rdf_shortest": rdf_shortest, "rdf_nearest_bin": rdf_nearest_bin, "angular_spectrum": angular_spectrum,
+        "density_grid": density_grid, "density_total": density_total, "grid_difference": grid_difference, "grid_tile": grid_tile, "grid_pad": grid_pad, "grid_summary": grid_summary, "grid_log": grid_log,
+        "thermo_join": thermo_join, "thermo_first_row": thermo_first_row, "nearest_mass": nearest_mass, "fold_positions": fold_positions, "log_scaled_vectors": log_scaled_vectors, "compat_check": compat_check,
+        "msd_plot_bands": msd_plot_bands, "msd_plot_fit_lines": msd_plot_fit_lines,
+        "dump_roundtrip": dump_roundtrip, "dump_scaled": partial(dump_roundtrip, scaled=True), "extxyz_roundtrip": extxyz_roundtrip, "xsf_roundtrip": xsf_roundtrip, "store_roundtrip": store_roundtrip,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
