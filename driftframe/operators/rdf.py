@@ -147,9 +147,10 @@ def _last_volume(traj: Trajectory, istart: int, istop: int | None, stepsize: int
     """Signed volume of the last frame used: what densities are relative to."""
     if traj.cell is not None:
         return G.det(G.constant_cell(traj.cell))
+    cell = traj.cell_columns()
     used = (F.col("step") >= istart) & ((F.col("step") - istart) % stepsize == 0)
     cells = traj.cells.where(used if istop is None else used & (F.col("step") < istop))
-    return cells.agg(F.max_by(G.det(G.cell_of()), "step")).first()[0]
+    return cells.agg(F.max_by(G.det(cell), "step")).first()[0]
 
 
 @dataclass(frozen=True)

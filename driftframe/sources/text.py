@@ -17,8 +17,8 @@ def words(line: str | Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    """A double; Fortran exponents (D) too."""
-    return F.translate(text, "dD", "eE").cast("double")
+    """A double; Fortran exponents (D) too. What is no number is null: filters may be moved below this, so it can't raise."""
+    return F.translate(text, "dD", "eE").try_cast("double")
 
 
 def numbered(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
