@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm import chat, digest_cache, gif, langid, packing, pii, redirects, simhash, warc
+from driftframe.llm import chat, digest_cache, gif, langid, packing, pii, redirects, simhash, spaced_seeds, warc
 from driftframe.llm.common import scratch_path, table
 
 
@@ -83,6 +83,11 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: whether it overlaps a benchmark item, which (sorted), and the largest overlap."""
+    return spaced_seeds.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 PLANTED = r"\### Assistant: </turn> ok"
 
 
@@ -93,7 +98,7 @@ def op10_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_error_correcting_codes, op2_weak_supervision, op3_gif, op4_redirect_equivalence, op5_digest_cache, op6_simhash, op7_warc, op8_best_fit, op10_chat_template)}
+    return {f.__name__: f for f in (op1_error_correcting_codes, op2_weak_supervision, op3_gif, op4_redirect_equivalence, op5_digest_cache, op6_simhash, op7_warc, op8_best_fit, op9_spaced_seeds, op10_chat_template)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,9 +4,9 @@ A seed hashes the tokens at the 1-positions of a fixed mask and ignores the othe
 substituted tokens. Hashes of the test items are joined to those of the training texts, and around a
 hit the aligned tokens are compared: an overlap of a window's length is accepted if enough agree.
 
-The item side first makes a bitmap of its hashes, of fixed size whatever the items' number; within the
-row of a training text it leaves out the positions that can't hit. Only the others, with the tokens
-around them, become rows, so neither texts nor all their hashes are shuffled.
+The item side first makes a bitmap of its hashes, of fixed size whatever the items' number. Positions of
+a training text are unrolled within generated code and those that can't hit end there; only the others,
+with the tokens around them, go on, so neither texts nor all their hashes are shuffled.
 """
 
 from __future__ import annotations
@@ -23,49 +23,55 @@ AGREE = 0.8
 #: Items of fewer tokens are no evidence of contamination and never match.
 LEAST = 5
 #: 64-bit words of the bitmap of item hashes.
-WORDS = 1 << 14
+WORDS = 1 << 15
 #: Seeds of items that are broadcast at most; more are joined by shuffling.
-BROADCAST_SEEDS = 1_000_000
+BROADCAST_SEEDS = 100_000
 
 
 def tokens(text: str) -> F.Column:
     """64-bit hashes of the runs of letters and digits of the lower-cased text; null and empty give none."""
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    words = F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " ", -1))
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(masks: tuple[str, ...]) -> list[tuple[int, list[int], int]]:
-    return [(len(m), [k for k, c in enumerate(m) if c == "1"], k) for k, m in enumerate(masks)]
+def _hash(number: int | F.Column, array: str, at: F.Column, ones: list[int]) -> F.Column:
+    """The seed hash of mask ``number`` at a position: mask and tokens at its 1s."""
+    return F.xxhash64(F.lit(number), *[F.get(F.col(array), at + k) for k in ones])
 
 
-def _hashes(array: str, span: int, ones: list[int], number: int) -> F.Column:
-    """The seed hash at each position, in order; none for fewer tokens than the span."""
-    at = F.sequence(F.lit(0), F.size(array) - span)
-    return F.when(F.size(array) >= span, F.transform(at, lambda i: F.xxhash64(F.lit(number), *[F.get(F.col(array), i + k) for k in ones]))).otherwise(F.array().cast("array<bigint>"))
+def _seeds(items: DataFrame, masks: tuple[str, ...], window: int) -> tuple[DataFrame, list[tuple[int, list[int]]]]:
+    """(h, item, item_id, n, ipos, region) of every seed of ``items``, and (span, ones) of the masks used.
+
+    ``region`` are the item's tokens at ipos + span - window .. ipos + window - 1, null outside of it. Items
+    shorter than the masks have one seed, the whole, whose region is null; each such length is a mask.
+    """
+    span = len(masks[0])
+    lengths = sorted(r.n for r in items.select(F.size("it").alias("n")).where(F.col("n") < span).distinct().collect())
+    used = [(len(m), [k for k, c in enumerate(m) if c == "1"]) for m in (*masks, *("1" * n for n in lengths))]
+    table = None
+    for number, (width, ones) in enumerate(used):
+        own = items.where(F.size("it") >= span) if number < len(masks) else items.where(F.size("it") == width)
+        rows = own.select("item", "item_id", F.size("it").alias("n"), "it", F.explode(F.sequence(F.lit(0), F.size("it") - width)).alias("ipos"))
+        region = F.transform(F.sequence(F.lit(span - window), F.lit(window - 1)), lambda i: F.when(F.col("ipos") + i >= 0, F.get("it", F.greatest(F.col("ipos") + i, F.lit(0)))))
+        part = rows.select(_hash(number, "it", F.col("ipos"), ones).alias("h"), "item", "item_id", "n", "ipos", region.alias("region") if number < len(masks) else F.lit(None).cast("array<bigint>").alias("region"))
+        table = part if table is None else table.union(part)
+    return table, used
 
 
 def find(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, agree: float = AGREE, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(*key, item_id, overlap) of the items (item_id, text) that overlap a text of ``docs`` (*key, text).
 
     ``overlap`` is the largest share of agreeing tokens, at least ``agree``, over windows of ``window``
-    aligned tokens (the whole item if it has fewer) that hold a seed. Items shorter than a mask's span
-    are sought whole, without substitutions. Rows are one per key and item: rows that repeat a key are
-    judged together. Items with null ids or repeated ones are kept apart by their text.
+    aligned tokens (the whole item if it has fewer) that hold a seed. Items shorter than the masks are
+    sought whole, without substitutions. Rows are one per key and item: rows that repeat a key are
+    judged together. Items with null ids or repeated ones are kept apart by their text. All masks have one
+    span, and ``2 * window - span`` is under 64: agreeing tokens around a seed are the bits of one long.
     """
-    spark = docs.sparkSession
+    span = len(masks[0])
+    if {len(m) for m in masks} != {span} or not span <= window or 2 * window - span > 63:
+        raise ValueError("masks of one span <= window, and 2 * window - span < 64")
     items = benchmark.select("item_id", tokens("text").alias("it")).where(F.size("it") >= LEAST).withColumn("item", F.xxhash64("item_id", "it"))
-    items = cut(items.dropDuplicates(["item"]), "benchmark-items")
-    short = max(map(len, masks))
-    lengths = sorted(r.n for r in items.select(F.size("it").alias("n")).where(F.col("n") < short).distinct().collect())
-    seeds = _seeds((*masks, *("1" * n for n in lengths)))
-    made = []
-    for span, ones, number in seeds:
-        own = items if number < len(masks) else items.where(F.size("it") == span)
-        made.append(own.select("item", F.lit(number).alias("mask"), F.posexplode(_hashes("it", span, ones, number)).alias("ipos", "h")))
-    table = made[0]
-    for more in made[1:]:
-        table = table.union(more)
+    table, used = _seeds(cut(items.dropDuplicates(["item"]), "benchmark-items"), masks, window)
     table = cut(table, "benchmark-seeds")
     n_seeds = table.count()
     shift = 64 - WORDS.bit_length() + 1
@@ -73,43 +79,32 @@ def find(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS,
     filled = dict(map(tuple, words.collect()))  # WORDS rows at most, however many items
     bits = F.split(F.lit(",".join(str(filled.get(w, 0)) for w in range(WORDS))), ",").cast("array<bigint>")  # folded to a literal
 
-    df = docs.select(*key, tokens("text").alias("th"))
-    df = df.withColumns({f"h{k}": _hashes("th", span, ones, k) for span, ones, k in seeds})
-
-    def met_at(k: int) -> F.Column:
-        """Positions whose hash may be an item's."""
-        hashes = F.col(f"h{k}")
-
-        def known(i):
-            h = F.get(hashes, i)
-            return F.getbit(F.get(bits, F.shiftrightunsigned(h, shift).cast("int")), h.bitwiseAND(63).cast("int")) == 1
-
-        at = F.when(F.size(hashes) > 0, F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), known))
-        return F.coalesce(at, F.array().cast("array<int>"))
-
-    def told(k: int, span: int) -> F.Column:
-        def one(i):
-            start = F.greatest(i - window, F.lit(0))
-            return F.struct(F.lit(k).alias("mask"), F.lit(span).alias("span"), i.alias("pos"), F.get(F.col(f"h{k}"), i).alias("h"), start.alias("from"), F.slice("th", start + 1, F.lit(2 * window + span)).alias("near"))
-
-        return F.transform(f"p{k}", one)
-
-    df = df.withColumns({f"p{k}": met_at(k) for _, _, k in seeds})
-    df = df.select(*key, F.explode(F.concat(*[told(k, span) for span, _, k in seeds])).alias("x"))
-    df = df.select(*key, "x.*")
-    small = n_seeds <= BROADCAST_SEEDS
-    give = F.broadcast if small else (lambda t: t)
-    met = df.join(give(table), ["mask", "h"]).join(give(items), "item")
-    size = F.least(F.lit(window), F.size("it"))
-    first, last = F.greatest(F.lit(0), F.col("ipos") + F.col("span") - size), F.least(F.col("ipos"), F.size("it") - size)
-    met = met.withColumns({"size": size, "shift": F.col("pos") - F.col("ipos") - F.col("from"), "first": first, "last": last}).where("first <= last")
-
-    def agreeing(start):
-        same = lambda k: (start + k + F.col("shift") >= 0) & (F.get("it", start + k) == F.get("near", F.greatest(start + k + F.col("shift"), F.lit(0))))
-        return F.size(F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda k: F.coalesce(same(k), F.lit(False))))
-
-    met = met.withColumn("overlap", F.array_max(F.transform(F.sequence("first", "last"), agreeing)) / F.col("size"))
-    return met.where(F.col("overlap") >= agree).groupBy(*key, "item_id", "item").agg(F.max("overlap").alias("overlap")).drop("item")
+    # a row per token, within generated code; th is only pointed at, and few rows pass the bitmap
+    # (an outer one, as others compute the array again to leave out empty ones)
+    at = docs.select(*key, tokens("text").alias("th")).select(*key, "th", F.posexplode_outer("th").alias("pos", "__token"))
+
+    def seed(number: int) -> F.Column:
+        width, ones = used[number]
+        h = _hash(number, "th", F.col("pos"), ones)
+        known = F.getbit(F.get(bits, F.shiftrightunsigned(h, shift).cast("int")), h.bitwiseAND(63).cast("int")) == 1
+        return F.when((F.col("pos") + width <= F.size("th")) & known, h)
+
+    # the seeds are told one by one, so that each is computed once for a position
+    hits = at.select(*key, "th", "pos", *[seed(k).alias(f"h{k}") for k in range(len(used))]).where(" or ".join(f"h{k} is not null" for k in range(len(used))))
+    near = F.slice("th", F.greatest(F.col("pos") + span - window, F.lit(0)) + 1, F.lit(2 * window))
+    hits = hits.select(*key, "pos", F.greatest(F.col("pos") + span - window, F.lit(0)).alias("from"), near.alias("near"), F.explode(F.array_compact(F.array(*[F.col(f"h{k}") for k in range(len(used))]))).alias("h"))
+    met = hits.join(F.broadcast(table) if n_seeds <= BROADCAST_SEEDS else table, "h")
+
+    # the tokens aligned with region, then their agreement as the bits of a long, looked at through every window;
+    # a window that leaves the item has no more agreeing tokens than the one moved inside
+    offset = F.col("pos") + (span - window) - F.col("from")
+    aligned = F.transform(F.sequence(F.lit(0), F.lit(2 * window - span - 1)), lambda i: F.when(i + offset >= 0, F.get("near", F.greatest(i + offset, F.lit(0)))))
+    same = F.zip_with("region", aligned, lambda x, y: F.coalesce(x == y, F.lit(False)).cast("long"))
+    views = range(window - span + 1)
+    most = F.aggregate(same, F.lit(0).cast("long"), lambda m, x: m * 2 + x, lambda m: F.greatest(*[F.bit_count(F.shiftrightunsigned(m, w).bitwiseAND((1 << window) - 1)) for w in views], F.lit(0)))
+    overlap = F.when(F.col("region").isNull(), 1.0).otherwise(most / F.least(F.col("n"), F.lit(window)))
+    best = met.groupBy(*key, "item_id", "item").agg(F.max(overlap).alias("overlap"))
+    return best.where(F.col("overlap") >= agree).drop("item")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
