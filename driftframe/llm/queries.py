@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm import chat, digest_cache, gif, langid, packing, pii, redirects, simhash, spaced_seeds, warc
+from driftframe.llm import chat, digest_cache, gif, langid, oracle, packing, pii, redirects, simhash, spaced_seeds, warc
 from driftframe.llm.common import scratch_path, table
 
 
@@ -84,8 +84,8 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: whether it overlaps a benchmark item, which (sorted), and the largest overlap."""
-    return spaced_seeds.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """A row for each document and benchmark item that overlap; clean documents have none."""
+    return spaced_seeds.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
 PLANTED = r"\### Assistant: </turn> ok"
@@ -102,4 +102,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what SQL can express; the others are tested against brute force in tests/llm."""
+    return {"op4_redirect_equivalence": oracle.redirects(RULES), "op7_warc": oracle.WARC, "op9_spaced_seeds": oracle.spaced_seeds(), "op10_chat_template": oracle.chat(PLANTED)}
