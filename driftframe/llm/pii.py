@@ -44,11 +44,10 @@ _TLDS = r"(?i)(com|org|net|edu|gov|info|io|co|de|fr|es|uk|eu|us)$"
 _SPAN = "struct<s:int,e:int,m:string,l:string,r:string>"
 
 
-def _matches(text: str, pattern: str, gate: F.Column) -> F.Column:
-    """Arrays of (start, end, match, 24 characters before, first after) of the non-overlapping matches, in code points."""
-    found = F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    gaps = F.when(F.size(found) > 0, F.split(text, pattern, -1))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast(f"array<{_SPAN}>").alias("all"))
+def _spans(found: F.Column, gaps: F.Column) -> F.Column:
+    """Arrays of (start, end, match, 24 characters before, first after) of matches and what lies between them, in code points."""
+    none = F.array().cast(f"array<{_SPAN}>")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), none.alias("all"))
 
     def step(acc, m):
         gap, after = F.get(gaps, acc["k"]), F.get(gaps, acc["k"] + 1)
@@ -57,8 +56,7 @@ def _matches(text: str, pattern: str, gate: F.Column) -> F.Column:
         one = F.struct(s.alias("s"), e.alias("e"), m.alias("m"), F.right(gap, F.lit(24)).alias("l"), F.left(after, F.lit(1)).alias("r"))
         return F.struct(e.alias("at"), (acc["k"] + 1).alias("k"), F.concat(acc["all"], F.array(one)).alias("all"))
 
-    spans = F.aggregate(F.coalesce(found, F.array().cast("array<string>")), start, step, lambda acc: acc["all"])
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return F.when(F.size(found) > 0, F.aggregate(found, start, step, lambda acc: acc["all"])).otherwise(none)
 
 
 def _digits(m: F.Column) -> F.Column:
@@ -113,7 +111,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     gates = {"email": F.contains("__text", F.lit("@")), "ip": F.col("__digit"), "card": F.col("__digit"), "phone": F.contains("__text", F.lit("+"))}
     wide_gates = {"email": F.col("__text").rlike(r"[\[({]\x20?(?:at|AT)\x20?[\])}]"), "phone": F.col("__digit")}
     df = docs.drop("cands").withColumn("__text", text).withColumn("__digit", F.col("__text").rlike("[0-9]"))
-    df = df.withColumns({f"__b_{k}": _matches("__text", BASE[k], gates[k]) for k in KINDS} | {f"__w_{k}": _matches("__text", WIDE[k], wide_gates[k]) for k in WIDE})
+    sought = {f"b_{k}": (BASE[k], gates[k]) for k in KINDS} | {f"w_{k}": (WIDE[k], wide_gates[k]) for k in WIDE}
+    # column by column, as an expression that is used twice in one projection is computed twice
+    df = df.withColumns({f"__f_{n}": F.when(gate, F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))) for n, (pattern, gate) in sought.items()})
+    df = df.withColumns({f"__g_{n}": F.when(F.size(f"__f_{n}") > 0, F.split("__text", pattern, -1)) for n, (pattern, _) in sought.items()})
+    df = df.withColumns({f"__{n}": _spans(F.col(f"__f_{n}"), F.col(f"__g_{n}")) for n in sought})
 
     def told(kind: str, wide: bool):
         def one(x):
@@ -126,7 +128,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     base = F.filter("__strict", lambda x: x["base"])
     df = df.withColumn("__base", base).withColumn("__other", F.concat(F.filter("__strict", lambda x: ~x["base"]), "__wide"))
     free = F.filter("__other", lambda x: ~F.exists("__base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return df.withColumn("cands", F.concat("__base", free)).drop("__text", "__digit", "__strict", "__wide", "__base", "__other", *[f"__b_{k}" for k in KINDS], *[f"__w_{k}" for k in WIDE])
+    return df.withColumn("cands", F.concat("__base", free)).drop("__text", "__digit", "__strict", "__wide", "__base", "__other", *[f"__{x}{n}" for x in ("", "f_", "g_") for n in sought])
 
 
 @dataclass(frozen=True)
@@ -209,12 +211,14 @@ def spans_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` redacted, same columns and rows; null texts stay null.
 
-    Fits on the candidates of all texts first, then finds and replaces within the rows: no join by key, so
-    repeated or null keys do no harm.
+    Rows with their candidates are written once; the model is fitted on all candidates and what it accepts
+    is replaced within the rows: no join by key, so repeated or null keys do no harm.
     """
-    model = fit(cut(candidates(docs.select("text")).where("size(cands) > 0").select("cands"), "pii-candidates"))
-    found = classified(candidates(docs), model)
-    return found.withColumn("text", redacted(F.col("text"), F.col("spans"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    others = F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])  # out of the way of names in use here
+    found = cut(candidates(docs.select("text", others.alias("__row"))), "pii-candidates")
+    found = classified(found, fit(found))
+    text = redacted(F.col("text"), F.col("spans"))
+    return found.select(*[text.alias(c) if c == "text" else F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
 def listed(spans: F.Column) -> F.Column:
