@@ -30,6 +30,8 @@ WIDE = 4
 #: Bits of 64 * WIDE that texts with a similarity of 0.8 differ by at most, four in five times: they differ by 38.8 on the mean, 5.7 the deviation.
 FAR = 43
 _PART = 1 << 14
+#: Wide fingerprints of a task that makes their table keys.
+PART_ROWS = 10_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -119,18 +121,18 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 def similar_links(nodes: DataFrame, far: int = FAR) -> DataFrame:
     """Links (a, b) between ``nodes`` (node, w0..w3) that meet in a table and differ by ``far`` bits or fewer.
 
-    Within a table entry a member is linked to the smallest and to the two before it, so entries of up to
-    four members give all pairs and larger ones a few links for each member. A pair that meets in many
-    entries is verified once.
+    Within a table entry a member is linked to the two smallest, and entries of up to four members give all
+    pairs: links are a few for each member of an entry. A pair that meets in many entries is verified once.
     """
     balls = [0, *(1 << i for i in range(32))]
     keys = []
     for s in range(2 * WIDE):
         half = F.shiftrightunsigned(f"w{s // 2}", 32 * (s % 2)).bitwiseAND(0xFFFFFFFF)
         keys += [half.bitwiseXOR(F.lit(m)).bitwiseOR(F.lit(s << 32)) for m in balls]
-    keyed = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
+    parts = 1 + nodes.count() // PART_ROWS  # so many as keep a task's keys in memory, whatever the number of nodes
+    keyed = nodes.repartition(parts, "node").select("node", F.explode(F.array(*keys)).alias("key"))
     met = keyed.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("all")).where("size(all) > 1")
-    ends = F.transform(F.sequence(F.lit(1), F.size("all") - 1), lambda i: F.struct(F.get("all", i).alias("b"), F.array_distinct(F.array(F.get("all", F.lit(0)), F.get("all", i - 1), F.get("all", F.greatest(i - 2, F.lit(0))))).alias("to")))
+    ends = F.transform(F.sequence(F.lit(1), F.size("all") - 1), lambda i: F.struct(F.get("all", i).alias("b"), F.array_distinct(F.array_compact(F.array(F.get("all", F.lit(0)), F.get("all", F.lit(1)), F.when(F.size("all") <= 4, F.get("all", i - 1))))).alias("to")))
     pairs = met.select(F.explode(ends).alias("e")).select("e.b", F.explode("e.to").alias("a")).where("a <> b").distinct()
     sides = [nodes.select(F.col("node").alias(n), *[F.col(f"w{k}").alias(f"{n}{k}") for k in range(WIDE)]) for n in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
