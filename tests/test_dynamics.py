@@ -196,3 +196,20 @@ def test_empty_selection_has_no_rows(traj):
     assert msd_blocks(traj, a.params(t_end_fit_dt=4, species_of_interest="Xe")).count() == 0
     with pytest.raises(InputError):
         DynamicsAnalyzer().get_msd(t_end_fit_dt=3)
+
+
+@pytest.mark.parametrize("stride, first, count", [(1, 1, 7), (3, 0, 4), (2, 1, 1), (5, 1, 30), (1, 0, 1), (4, 1, 0)])
+def test_lag_pairs_are_all_pairs(spark, stride, first, count):
+    from driftframe.operators.lag import lag_pairs
+
+    rows = [(t, a, s) for t in range(2) for a in range(2) for s in range(23 + a) if s != 11]  # a step is missing
+    one = spark.createDataFrame(rows, "traj_id int, atom_idx int, step int")
+    other = one.withColumn("then", one.step)
+    got = sorted((r.traj_id, r.atom_idx, r.step, r.then, r.k) for r in lag_pairs(one, other, stride, first, count).collect())
+    there = set(rows)
+    assert got == sorted((t, a, s, s + stride * k, k) for t, a, s in rows for k in range(first, first + count) if (t, a, s + stride * k) in there)
+
+
+def test_no_lag_fits_the_stride(traj):
+    a = DynamicsAnalyzer(traj)
+    assert a.get_msd(t_end_fit_dt=3, stepsize_t=5)["msd"].count() == 0 and a.get_vaf(t_end_fit_dt=3, stepsize_t=5)["vaf"].count() == 0

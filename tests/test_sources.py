@@ -111,6 +111,20 @@ def test_xsf(spark, tmp_path):
         xsf.read_xsf(spark, f"file://{tmp_path}/none")
 
 
+def test_rdf_table(spark, tmp_path):
+    rows = spark.createDataFrame([("a_b", k, k + 0.5, k * 2.0, 1.0) for k in (2, 0, 1)], "label string, bin int, radius double, rdf double, integral double")
+    xsf.write_rdf_table(rows, f"file://{tmp_path}/r.dat")
+    lines = (tmp_path / "r.dat").read_text().splitlines()
+    assert lines[0].startswith("# radius") and [list(map(float, x.split())) for x in lines[1:]] == [[0.5, 0, 1], [1.5, 2, 1], [2.5, 4, 1]]
+
+
+def test_words_and_numbers(spark):
+    from driftframe.sources.text import number, words
+
+    row = spark.createDataFrame([("  a\tb  1.5D+01 ", " ")], "x string, y string").select(words("x").alias("x"), words("y").alias("y"), number(F.get(words("x"), F.lit(2))).alias("n"), number(F.lit("no")).alias("bad")).first()
+    assert (row.x, row.y, row.n, row.bad) == (["a", "b", "1.5D+01"], [], 15.0, None)
+
+
 def test_extxyz_and_blocks(spark, tmp_path):
     pos, vel = RNG.normal(size=(4, 3, 3)), RNG.normal(size=(4, 3, 3))
     t = trajectory(spark, pos, ["O", "H", "O"], vel, cell=((1.0, 0, 0), (0, 2.0, 0), (0, 0, 3.0)))
