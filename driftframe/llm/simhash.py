@@ -1,9 +1,9 @@
 """SimHash near-duplicates by multi-index hashing.
 
-``near_duplicates`` links fingerprints of 64 bits at two or fewer bits, and loses none. The 64-bit fingerprint is split into segments. For each segment the radius-1 Hamming ball is
-enumerated and a table is keyed by (ball member, the other segments as they are). Two fingerprints
-within two bits share a key: if they differ in bits i and j, flipping i in one and j in the other
-meets. Those who share a key are at most 65, all within one bit of it, so a star of links from the
+``near_duplicates`` links fingerprints of 64 bits at two or fewer bits, and loses none. The 64-bit
+fingerprint is split into segments. For each segment the radius-1 Hamming ball is enumerated and a table
+is keyed by (ball member, the other segments as they are). Two fingerprints within two bits share a key:
+if they differ in bits i and j, flipping i in one and j in the other meets. Those who share a key are at most 65, all within one bit of it, so a star of links from the
 smallest member (verified by the complete distance) connects them without emitting pairs.
 
 ``similar`` is for texts that share four fifths of their five-word shingles. These differ by a seventh
@@ -32,8 +32,8 @@ FAR = 65
 #: Words whose segments' tables are made at once.
 AT_ONCE = 2
 _PART = 1 << 14
-#: Wide fingerprints of a task that makes their table keys.
-PART_ROWS = 10_000
+#: Table keys of a task.
+PART_KEYS = 900_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -120,36 +120,59 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return hashed.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def _meetings(nodes: DataFrame, segments: range, parts: int) -> DataFrame:
-    """Distinct pairs (b, a) of nodes to verify, from the tables of these segments of 32 bits."""
+def _meetings(nodes: DataFrame, segments: range, ball: list[int], count: int) -> DataFrame:
+    """Distinct pairs (b, a) of nodes (node, component, w0, ...) to verify, from the tables of these segments of 32 bits.
+
+    Each member of a table entry meets the smallest and the largest of its members, if their components
+    differ from its own. The two are aggregates and the members stream past them: an entry may have any size.
+    """
     keys = []
     for s in segments:
         half = F.shiftrightunsigned(f"w{s // 2}", 32 * (s % 2)).bitwiseAND(0xFFFFFFFF)
-        keys += [half.bitwiseXOR(F.lit(m)).bitwiseOR(F.lit(s << 32)) for m in (0, *(1 << i for i in range(32)))]
-    keyed = nodes.repartition(parts, "node").select("node", F.explode(F.array(*keys)).alias("key")).repartition(parts, "key")
-    met = keyed.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("all")).where("size(all) > 1")
-    ends = F.transform(F.sequence(F.lit(1), F.size("all") - 1), lambda i: F.struct(F.get("all", i).alias("b"), F.array_distinct(F.array_compact(F.array(F.get("all", F.lit(0)), F.get("all", F.lit(1)), F.when(F.size("all") <= 4, F.get("all", i - 1))))).alias("to")))
-    return met.select(F.explode(ends).alias("e")).select("e.b", F.explode("e.to").alias("a")).where("a <> b").distinct()
+        keys += [half.bitwiseXOR(F.lit(m)).bitwiseOR(F.lit(s << 32)) for m in ball]
+    parts = 1 + count * len(keys) // PART_KEYS  # so many as keep a task's keys in memory, whatever the number of nodes
+    keyed = nodes.repartition(parts, "node").select("node", "component", F.explode(F.array(*keys)).alias("key")).where("key is not null").repartition(parts, "key")
+    ends = keyed.groupBy("key").agg(
+        F.min("node").alias("low"), F.min_by("component", "node").alias("low_in"), F.max("node").alias("high"), F.max_by("component", "node").alias("high_in"), F.min("component").alias("first"), F.max("component").alias("last")
+    ).where("first < last")
+    both = F.array(F.when(F.col("low_in") != F.col("component"), F.col("low")), F.when(F.col("high_in") != F.col("component"), F.col("high")))
+    met = keyed.join(ends.hint("shuffle_hash"), "key").select("node", F.explode(both).alias("other")).where("other is not null")
+    return met.select(F.greatest("node", "other").alias("b"), F.least("node", "other").alias("a")).distinct()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, far: int) -> DataFrame:
+    """Links (a, b) between the components of pairs that differ by ``far`` bits or fewer in all."""
+    sides = [nodes.select(F.col("node").alias(n), F.col("component").alias(f"{n}_in"), *[F.col(f"w{k}").alias(f"{n}{k}") for k in range(WIDE)]) for n in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0")))
+    for k in range(1, WIDE):
+        apart = apart + F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}")))
+    return both.where(apart <= far).select(F.col("a_in").alias("a"), F.col("b_in").alias("b"))
 
 
-def similar_links(nodes: DataFrame, far: int = FAR) -> DataFrame:
-    """Links (a, b) between ``nodes`` (node, w0, w1, ...) that meet in a table and differ by ``far`` bits or fewer.
+def similar_nodes(nodes: DataFrame, far: int = FAR) -> DataFrame:
+    """(node, component) of all ``nodes`` (node, w0, w1, ...): component is the smallest node reachable over links.
 
-    Within a table entry a member is linked to the two smallest, and entries of up to four members give all
-    pairs: links are a few for each member of an entry. A pair that meets in many entries is verified once.
+    Nodes that share a whole segment are linked first. Then the balls link the components found: pairs within
+    one, which a group of near copies has in every table, need no second look. A pair that meets in many
+    entries is verified once, by its complete distance.
     """
-    parts = 1 + nodes.count() // PART_ROWS  # so many as keep a task's keys in memory, whatever the number of nodes
+    count = nodes.count()
+
+    def grouped(found: DataFrame, links: DataFrame) -> DataFrame:
+        lower = connected_components(cut(links, "similar-links"), "similar").withColumnRenamed("component", "__lower").withColumnRenamed("node", "component")
+        joined = found.join(lower, "component", "left").withColumn("component", F.coalesce("__lower", "component"))
+        return cut(joined.select(*found.columns), "similar-nodes")
+
+    found = nodes.withColumn("component", F.col("node"))
+    met = cut(_meetings(found, range(2 * WIDE), [0], count), "similar-meetings")
+    found = grouped(found, _verified(met, found, far))
     pairs = None
     for first in range(0, WIDE, AT_ONCE):
-        more = cut(_meetings(nodes, range(2 * first, 2 * min(first + AT_ONCE, WIDE)), parts), "similar-meetings")
+        segments = range(2 * first, 2 * min(first + AT_ONCE, WIDE))
+        more = cut(_meetings(found, segments, [0, *(1 << i for i in range(32))], count), "similar-meetings")
         pairs = more if pairs is None else pairs.union(more)
-    pairs = pairs.distinct()
-    sides = [nodes.select(F.col("node").alias(n), *[F.col(f"w{k}").alias(f"{n}{k}") for k in range(WIDE)]) for n in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
-    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0")))
-    for k in range(1, WIDE):
-        apart = apart + F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}")))
-    return both.where(apart <= far).select("a", "b")
+    return grouped(found, _verified(pairs.distinct(), found, far)).select("node", "component")
 
 
 def similar(docs: DataFrame, words: int = 5, far: int = FAR) -> DataFrame:
@@ -167,9 +190,7 @@ def similar(docs: DataFrame, words: int = 5, far: int = FAR) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("h_text"), hashed("text").alias("w"))
     rows = cut(rows.select("doc_id", "h_text", F.xxhash64("w").alias("node"), *[F.get("w", F.lit(k)).alias(f"w{k}") for k in range(WIDE)]), "wide-fingerprints")
     nodes = cut(rows.groupBy("node").agg(*[F.first(f"w{k}").alias(f"w{k}") for k in range(WIDE)]), "wide-nodes")
-    labels = connected_components(cut(similar_links(nodes, far), "similar-links"), "similar")
-    joined = rows.select("doc_id", "h_text", "node").join(labels, "node", "left")
-    return joined.select("doc_id", "h_text", F.coalesce("component", "node").alias("group"))
+    return rows.select("doc_id", "h_text", "node").join(similar_nodes(nodes, far), "node").select("doc_id", "h_text", F.col("component").alias("group"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, far: int = FAR) -> DataFrame:
