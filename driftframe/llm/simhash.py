@@ -123,8 +123,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 def _meetings(nodes: DataFrame, segments: range, ball: list[int], count: int) -> DataFrame:
     """Distinct pairs (b, a) of nodes (node, component, w0, ...) to verify, from the tables of these segments of 32 bits.
 
-    Each member of a table entry meets the smallest and the largest of its members, if their components
-    differ from its own. The two are aggregates and the members stream past them: an entry may have any size.
+    All members of a table entry meet, but those of one component.
     """
     keys = []
     for s in segments:
@@ -132,12 +131,15 @@ def _meetings(nodes: DataFrame, segments: range, ball: list[int], count: int) ->
         keys += [half.bitwiseXOR(F.lit(m)).bitwiseOR(F.lit(s << 32)) for m in ball]
     parts = 1 + count * len(keys) // PART_KEYS  # so many as keep a task's keys in memory, whatever the number of nodes
     keyed = nodes.repartition(parts, "node").select("node", "component", F.explode(F.array(*keys)).alias("key")).where("key is not null").repartition(parts, "key")
-    ends = keyed.groupBy("key").agg(
-        F.min("node").alias("low"), F.min_by("component", "node").alias("low_in"), F.max("node").alias("high"), F.max_by("component", "node").alias("high_in"), F.min("component").alias("first"), F.max("component").alias("last")
-    ).where("first < last")
-    both = F.array(F.when(F.col("low_in") != F.col("component"), F.col("low")), F.when(F.col("high_in") != F.col("component"), F.col("high")))
-    met = keyed.join(ends.hint("shuffle_hash"), "key").select("node", F.explode(both).alias("other")).where("other is not null")
-    return met.select(F.greatest("node", "other").alias("b"), F.least("node", "other").alias("a")).distinct()
+    return _met(keyed)
+
+
+def _met(keyed: DataFrame) -> DataFrame:
+    """Distinct pairs (b, a), a < b, of all nodes of different components that share a key, of ``keyed`` (key, node, component)."""
+    mixed = keyed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").select("key")
+    sought = keyed.join(mixed, "key")
+    one, other = (sought.select("key", F.col("node").alias(n), F.col("component").alias(f"{n}_in")) for n in "ab")
+    return one.join(other, "key").where("a < b and a_in <> b_in").select("b", "a").distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, far: int) -> DataFrame:

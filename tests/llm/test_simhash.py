@@ -72,3 +72,16 @@ def test_components_of_chains_and_stars(spark, n):
     star = [(1000, 1000 + i) for i in range(1, n)] + [(5000, 5000), (None, 3)]
     got = dict(connected_components(spark.createDataFrame(chain + star, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(n + 1)}, **{1000 + i: 1000 for i in range(n)}}
+
+
+def test_all_members_of_an_entry_meet(spark):
+    members = [(7, n, c) for n, c in ((1, 1), (2, 2), (3, 3), (4, 3), (5, 5), (9, 9))] + [(8, 1, 1), (8, 6, 1)]
+    got = sorted(map(tuple, simhash._met(spark.createDataFrame(members, "key long, node long, component long")).select("a", "b").collect()))
+    assert got == [(a, b) for a in (1, 2, 3, 4, 5, 9) for b in (1, 2, 3, 4, 5, 9) if a < b and (a, b) != (3, 4)]
+
+
+def test_the_middle_of_an_entry_is_linked(spark):
+    low, mid, off = (1 << 32) - 1, 0x5555555555555555, 0x0000000700000007  # the first segment of all; the middle two are three bits apart in every other
+    nodes = [(1, low, *[0] * 5), (2, mid >> 32 << 32 | low, *[mid] * 5), (3, (mid ^ off) >> 32 << 32 | low, *[mid ^ off] * 5), (4, -1, *[-1] * 5)]
+    found = simhash.similar_nodes(spark.createDataFrame(nodes, "node long, " + ", ".join(f"w{k} long" for k in range(6))))
+    assert dict(map(tuple, found.collect())) == {1: 1, 2: 2, 3: 2, 4: 4}
