@@ -6,10 +6,9 @@ is keyed by (ball member, the other segments as they are). Two fingerprints with
 if they differ in bits i and j, flipping i in one and j in the other meets. Those who share a key are at most 65, all within one bit of it, so a star of links from the
 smallest member (verified by the complete distance) connects them without emitting pairs.
 
-``similar`` is for texts that share four fifths of their five-word shingles. These differ by a seventh
-of the bits, so it takes 384 bits in twelve segments, enumerates the same balls and verifies the complete
-distance. Two texts of similarity 0.8, 0.85, 0.9 meet in a table with probability 0.79, 0.94, 0.993; a copy
-that misses one member of its group mostly meets another.
+``similar`` is for texts that share four fifths of their five-word shingles, and loses none either: of two
+such sets, each in one order that holds for all, the first fifths share a shingle. Those who share one, at
+places that leave enough to share, are candidates; the exact similarity of the sets decides.
 """
 
 from __future__ import annotations
@@ -25,12 +24,12 @@ from driftframe.llm.components import connected_components
 
 SEED = 42
 SEGMENTS = 4
-#: 64-bit words of a wide fingerprint.
-WIDE = 6
-#: Bits of 64 * WIDE that texts with a similarity of 0.8 differ by at most, five in six times: they differ by 58 on the mean, 7 the deviation.
-FAR = 65
-#: Words whose segments' tables are made at once.
-AT_ONCE = 2
+#: Texts, about, from which common shingles are learned, and those of them that are put last in the order. They bear on the effort only.
+SAMPLE, COMMON = 5_000, 20_000
+#: Least shingles of a text, by as many hashes, whose links are looked at first.
+MINS = 6
+#: 64-bit words of the bitmap of texts whose shingles are compared.
+WORDS = 1 << 15
 _PART = 1 << 14
 #: Table keys of a task.
 PART_KEYS = 900_000
@@ -63,15 +62,21 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(_majority(hashes.reshape(-1, 1))[0]) if len(hashes) else 0
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> list[int]:
-    """WIDE signed words of SimHash over the set of word shingles; null or no word gives zeros."""
+def _described(text: str | None, words: int, common: np.ndarray, place: np.ndarray) -> tuple[int, int, list[int], list[int]]:
+    """(hash of the set of shingles, its size, its first fifth and one more, its least by MINS hashes); zeros and none without a word.
+
+    In order are those that aren't in ``common`` (sorted), by hash, then those that are, by ``place``.
+    """
     hashes = np.unique(shingle_hashes(text, words))
     if not len(hashes):
-        return [0] * WIDE
-    mixed = hashes[:, None] + np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
-    return _majority(mixed ^ (mixed >> np.uint64(31))).tolist()
+        return 0, 0, [], []
+    late = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        late = np.where(common[at] == hashes, place[at], 0)
+    first = hashes[np.lexsort((hashes, late))[: len(hashes) // 5 + 1]]
+    least = [((hashes ^ (hashes >> np.uint64(29))) * np.uint64(2 * k + 1)).min() for k in (0x4F1BBCDC, 0x6A09E667, 0x3C6EF372, 0x510E527F, 0x1F83D9AB, 0x5BE0CD19)[:MINS]]
+    return _signed(xxh64_intdigest(hashes.tobytes(), SEED)), len(hashes), first.view(np.int64).tolist(), np.array(least, np.uint64).view(np.int64).tolist()
 
 
 def with_fingerprint(docs: DataFrame, words: int = 3, name: str = "fp") -> DataFrame:
@@ -120,89 +125,111 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return hashed.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def _meetings(nodes: DataFrame, segments: range, ball: list[int], count: int) -> DataFrame:
-    """Distinct pairs (b, a) of nodes (node, component, w0, ...) to verify, from the tables of these segments of 32 bits.
+def _met(keyed: DataFrame) -> DataFrame:
+    """Distinct pairs (b, a), a < b, of nodes of different components that share a key, of ``keyed`` (key, node, component).
 
-    All members of a table entry meet, but those of one component.
+    With columns n and pos, the sizes of their sets and the key's place in them, only of those that can share
+    four fifths if they share none before. Of an entry's largest component, no member meets another.
     """
-    keys = []
-    for s in segments:
-        half = F.shiftrightunsigned(f"w{s // 2}", 32 * (s % 2)).bitwiseAND(0xFFFFFFFF)
-        keys += [half.bitwiseXOR(F.lit(m)).bitwiseOR(F.lit(s << 32)) for m in ball]
-    parts = 1 + count * len(keys) // PART_KEYS  # so many as keep a task's keys in memory, whatever the number of nodes
-    keyed = nodes.repartition(parts, "node").select("node", "component", F.explode(F.array(*keys)).alias("key")).where("key is not null").repartition(parts, "key")
-    return _met(keyed)
-
-
-def _met(keyed: DataFrame) -> DataFrame:
-    """Distinct pairs (b, a), a < b, of all nodes of different components that share a key, of ``keyed`` (key, node, component)."""
     mixed = keyed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").select("key")
-    sought = keyed.join(mixed, "key")
-    one, other = (sought.select("key", F.col("node").alias(n), F.col("component").alias(f"{n}_in")) for n in "ab")
-    return one.join(other, "key").where("a < b and a_in <> b_in").select("b", "a").distinct()
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, far: int) -> DataFrame:
-    """Links (a, b) between the components of pairs that differ by ``far`` bits or fewer in all."""
-    sides = [nodes.select(F.col("node").alias(n), F.col("component").alias(f"{n}_in"), *[F.col(f"w{k}").alias(f"{n}{k}") for k in range(WIDE)]) for n in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
-    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0")))
-    for k in range(1, WIDE):
-        apart = apart + F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}")))
-    return both.where(apart <= far).select(F.col("a_in").alias("a"), F.col("b_in").alias("b"))
-
-
-def similar_nodes(nodes: DataFrame, far: int = FAR) -> DataFrame:
-    """(node, component) of all ``nodes`` (node, w0, w1, ...): component is the smallest node reachable over links.
-
-    Nodes that share a whole segment are linked first. Then the balls link the components found: pairs within
-    one, which a group of near copies has in every table, need no second look. A pair that meets in many
-    entries is verified once, by its complete distance.
+    sought = cut(keyed.join(mixed.hint("shuffle_hash"), "key"), "similar-sought")
+    sizes = sought.groupBy("key", "component").agg(F.count("*").alias("members"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", "members").alias("main"))
+    rest = sought.join(largest, "key").where("component <> main").drop("main")
+    x, y = (df.select("key", *[F.col(c).alias(f"{n}_{c}") for c in keyed.columns if c != "key"]) for df, n in ((rest, "x"), (sought, "y")))
+    pairs = x.join(y, "key").where("x_component <> y_component")
+    if "pos" in keyed.columns:
+        pairs = pairs.where("9 * least(x_n - x_pos, y_n - y_pos) >= 4 * (x_n + y_n)")
+    return pairs.select(F.greatest("x_node", "y_node").alias("b"), F.least("x_node", "y_node").alias("a")).distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a similarity of 0.8 or more.
+
+    ``rows`` has the texts' hashes and nodes. Sets are made again, for the texts of the pairs only: a bitmap of
+    fixed size tells them, and lets some others pass once they are many.
     """
-    count = nodes.count()
-
-    def grouped(found: DataFrame, links: DataFrame) -> DataFrame:
-        lower = connected_components(cut(links, "similar-links"), "similar").withColumnRenamed("component", "__lower").withColumnRenamed("node", "component")
-        joined = found.join(lower, "component", "left").withColumn("component", F.coalesce("__lower", "component"))
-        return cut(joined.select(*found.columns), "similar-nodes")
-
-    found = nodes.withColumn("component", F.col("node"))
-    met = cut(_meetings(found, range(2 * WIDE), [0], count), "similar-meetings")
-    found = grouped(found, _verified(met, found, far))
-    pairs = None
-    for first in range(0, WIDE, AT_ONCE):
-        segments = range(2 * first, 2 * min(first + AT_ONCE, WIDE))
-        more = cut(_meetings(found, segments, [0, *(1 << i for i in range(32))], count), "similar-meetings")
-        pairs = more if pairs is None else pairs.union(more)
-    return grouped(found, _verified(pairs.distinct(), found, far)).select("node", "component")
-
-
-def similar(docs: DataFrame, words: int = 5, far: int = FAR) -> DataFrame:
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-wanted")
+    shift = 64 - WORDS.bit_length() + 1
+    texts = rows.join(wanted, "node", "left_semi").groupBy(F.shiftrightunsigned("h_text", shift).cast("int").alias("w"))
+    filled = dict(map(tuple, texts.agg(F.bit_or(F.expr("shiftleft(1L, cast(h_text & 63 as int))"))).collect()))
+    bits = F.split(F.lit(",".join(str(filled.get(w, 0)) for w in range(WORDS))), ",").cast("array<bigint>")  # folded to a literal
+    h = F.xxhash64("text")
+    sought = F.getbit(F.get(bits, F.shiftrightunsigned(h, shift).cast("int")), h.bitwiseAND(63).cast("int")) == 1
+
+    @F.arrow_udf("struct<node:long,items:array<long>>")
+    def shingled(column: pa.Array) -> pa.Array:
+        sets = [np.unique(shingle_hashes(t, words)) for t in column.to_pylist()]
+        nodes = [_signed(xxh64_intdigest(x.tobytes(), SEED)) if len(x) else 0 for x in sets]
+        return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "items"])
+
+    made = cut(docs.where(sought).select(shingled("text").alias("s")).select("s.*"), "similar-sets")
+    sets = made.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items"))
+    sides = [sets.select(F.col("node").alias(n), F.col("items").alias(f"{n}_items")) for n in "ab"]
+    shared = F.size(F.array_intersect("a_items", "b_items"))
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(9 * shared >= 4 * (F.size("a_items") + F.size("b_items"))).select("a", "b")
+
+
+def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of about SAMPLE texts hold, sorted, and their places by frequency."""
+    every = max(1, docs.count() // SAMPLE)
+
+    def shingled(batches):
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, words)).view(np.int64))], ["h"])
+
+    sample = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(every)) == 0)
+    counts = sample.mapInArrow(shingled, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 5")
+    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    hashes = found["h"].to_numpy().view(np.uint64)
+    at = np.argsort(hashes)
+    return hashes[at], len(hashes) - at
+
+
+def similar(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, h_text, group) per row of ``docs`` (doc_id, text): rows of one group are near-duplicates.
 
-    ``group`` is a fingerprint's hash, the smallest of those linked; ``h_text`` is XXH64 of the text. Copies
-    meet in one fingerprint and cost one row here, however many. Null and empty texts are one group.
+    ``group`` is the hash of a set of shingles, the smallest of those linked at a similarity of 0.8 or more;
+    ``h_text`` is XXH64 of the text. Copies meet in one set. Null and empty texts are one group. Stars over
+    the texts' least shingles link most of a group first, so that few pairs of it are left to look at.
     """
     small_batches(docs.sparkSession)
-
-    @F.arrow_udf("array<long>")
-    def hashed(texts: pa.Array) -> pa.Array:
-        return pa.array([wide_fingerprint(t, words) for t in texts.to_pylist()], pa.list_(pa.int64()))
-
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h_text"), hashed("text").alias("w"))
-    rows = cut(rows.select("doc_id", "h_text", F.xxhash64("w").alias("node"), *[F.get("w", F.lit(k)).alias(f"w{k}") for k in range(WIDE)]), "wide-fingerprints")
-    nodes = cut(rows.groupBy("node").agg(*[F.first(f"w{k}").alias(f"w{k}") for k in range(WIDE)]), "wide-nodes")
-    return rows.select("doc_id", "h_text", "node").join(similar_nodes(nodes, far), "node").select("doc_id", "h_text", F.col("component").alias("group"))
-
-
-def one_of_each(docs: DataFrame, words: int = 5, far: int = FAR) -> DataFrame:
+    common, place = _common(docs, words)
+
+    @F.arrow_udf("struct<node:long,n:int,keys:array<long>,mins:array<long>>")
+    def described(texts: pa.Array) -> pa.Array:
+        found = list(zip(*[_described(t, words, common, place) for t in texts.to_pylist()])) or [()] * 4
+        kinds = {"node": pa.int64(), "n": pa.int32(), "keys": pa.list_(pa.int64()), "mins": pa.list_(pa.int64())}
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(found, kinds.values())], list(kinds))
+
+    rows = cut(docs.select("doc_id", F.xxhash64("text").alias("h_text"), described("text").alias("s")).select("doc_id", "h_text", "s.*"), "shingled")
+    least = rows.select("node", F.posexplode("mins").alias("nth", "key")).distinct()
+    lows = least.groupBy("nth", "key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last")
+    stars = cut(least.join(lows, ["nth", "key"]).where("a < node").select("a", F.col("node").alias("b")).distinct(), "similar-stars")
+    labels = connected_components(cut(_verified(stars, rows, docs, words), "similar-links"), "similar")
+
+    sets = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).join(labels, "node", "left")
+    keys = sets.select("node", F.coalesce("component", "node").alias("component"), "n", F.posexplode("keys").alias("pos", "key"))
+    parts = 1 + int(rows.agg(F.sum(F.size("keys"))).first()[0] or 0) // PART_KEYS  # so many as keep a task's keys in memory
+    met = cut(_met(keys.repartition(parts, "key")), "similar-meetings")
+    links = _verified(met, rows, docs, words)
+    for n in "ab":
+        inside = labels.select(F.col("node").alias(n), F.col("component").alias(f"{n}_in"))
+        links = links.join(inside, n, "left").withColumn(n, F.coalesce(f"{n}_in", n)).drop(f"{n}_in")
+    lower = connected_components(cut(links, "similar-links"), "similar").select(F.col("node").alias("component"), F.col("component").alias("lower"))
+    group = rows.select("doc_id", "h_text", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return group.join(lower, "component", "left").select("doc_id", "h_text", F.coalesce("lower", "component").alias("group"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the smallest doc_id (null last), same columns.
 
     Rows that repeat both doc_id and text count as one. The winners are an aggregate of small rows; whole
     rows are moved once, to meet them.
     """
     keys = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("doc_id").isNull().alias("__null")]
-    grouped = similar(docs.select("doc_id", "text"), words, far)
+    grouped = similar(docs.select("doc_id", "text"), words)
     best = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("h_text").alias("h"))).alias("w"))
     winners = best.select(F.coalesce(F.col("w.d").cast("string"), F.lit("")).alias("__id"), F.col("w.n").alias("__null"), F.col("w.h").alias("__h"))
     kept = docs.select("*", *keys, F.xxhash64("text").alias("__h")).join(winners, ["__id", "__null", "__h"], "left_semi")

@@ -80,8 +80,32 @@ def test_all_members_of_an_entry_meet(spark):
     assert got == [(a, b) for a in (1, 2, 3, 4, 5, 9) for b in (1, 2, 3, 4, 5, 9) if a < b and (a, b) != (3, 4)]
 
 
-def test_the_middle_of_an_entry_is_linked(spark):
-    low, mid, off = (1 << 32) - 1, 0x5555555555555555, 0x0000000700000007  # the first segment of all; the middle two are three bits apart in every other
-    nodes = [(1, low, *[0] * 5), (2, mid >> 32 << 32 | low, *[mid] * 5), (3, (mid ^ off) >> 32 << 32 | low, *[mid ^ off] * 5), (4, -1, *[-1] * 5)]
-    found = simhash.similar_nodes(spark.createDataFrame(nodes, "node long, " + ", ".join(f"w{k} long" for k in range(6))))
-    assert dict(map(tuple, found.collect())) == {1: 1, 2: 2, 3: 2, 4: 4}
+def test_all_pairs_at_0_8_and_no_others(spark):
+    rng, rows, sets = random.Random(3), [], []
+
+    def add(words):
+        rows.append((len(rows), " ".join(words)))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+
+    for k in range(250):  # pairs just above and below, whose texts share a line and are near to no other
+        n = rng.randrange(30, 120)
+        words = [f"t{k}.{i}" for i in range(n)] + ["one", "line", "that", "all", "texts", "share"] * (k % 2)
+        add(words)
+        add(words[: -rng.randrange(1, 2 + n // 4)] if k % 3 else [*words, *[f"u{k}.{i}" for i in range(rng.randrange(1, 2 + n // 4))]])
+    base = [f"g{i}" for i in range(60)]
+    for k in range(40):  # a group whose members are near to some others only
+        at = rng.randrange(60)
+        add([*base[:at], f"h{k}", *base[at + 1 :]])
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    group = {r.doc_id: r.group for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(i, j) for i in group for j in range(i) if group[i] == group[j]} == {(i, j) for i in group for j in range(i) if root(i) == root(j)}
