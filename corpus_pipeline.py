@@ -15,8 +15,10 @@ from driftframe.llm.common import cut, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, in which no language can be told, go; ambiguous ones stay."""
+    """Documents without a letter, in which no language can be told, go; ambiguous ones stay, and so do all with letters if no language could be learned."""
     model = langid.fit(docs.where(~langid.held_out()))
+    if not model.languages:
+        return docs.where(langid.lettered(docs.sparkSession))
     found = langid.predict(docs, model)
     return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftframe.llm.common import small_batches
@@ -179,6 +179,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.drop(*names).withColumn("__judged", judged("text")).select("*", *[F.col(f"__judged.{n}").alias(n) for n in names]).drop("__judged")
 
 
+def lettered(spark: SparkSession, column: str = "text") -> F.Column:
+    """True for texts that have a letter."""
+    small_batches(spark)
+
+    @F.arrow_udf("boolean")
+    def told(texts: pa.Array) -> pa.Array:
+        return pa.array([has_letter(t) for t in texts.to_pylist()], pa.bool_())
+
+    return told(column)
+
+
 def held_out(key: str = "doc_id") -> F.Column:
     """True for the rows that are never learned from: crc32 of the key as text, mod 4, is 2; null keys too."""
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(4)) == 2, F.lit(True))

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from driftframe.llm import langid, queries
 
 SF = "/root/testdata/sf0.01"
@@ -67,3 +68,9 @@ def test_parts_of_long_texts_count_alike():
         assert abs(langid.ngram_counts(text).sum() - whole.sum()) < 0.01 * whole.sum()
     finally:
         langid._PART = size
+
+
+def test_documents_stay_if_no_language_can_be_learned(spark):
+    rows = [(1, "some words", None), (2, "12 34", None), (3, None, None), (None, "more words", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.text for r in corpus_pipeline.language_id(spark, docs, SF).collect()) == ["more words", "some words"]
