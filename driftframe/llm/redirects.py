@@ -93,7 +93,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], links: DataFrame | None = N
     verdict = F.col("own_verdict")
     if edges is not None and (edges := cut(edges.distinct(), "alias-links")).take(1):
         labels = connected_components(edges, "aliases")
-        nodes = judged(labels.withColumns({"host": host("node"), "path": path("node")}), rules)
+        nodes = judged(labels.withColumns({"host": host("node"), "path": F.coalesce(F.nullif(path("node"), F.lit("")), F.lit("/"))}), rules)  # a node has no bare root
         tainted = nodes.groupBy("component").agg(F.max(F.col("own_verdict") == "block").alias("blocks"), F.max(F.col("own_verdict") == "allow").alias("allows"))
         tainted = tainted.where("blocks and not allows").select("component")
         blocked = cut(labels.join(tainted, "component", "left_semi").select(F.col("node").alias("__node"), F.lit("block").alias("__alias")), "blocked-aliases")

@@ -70,3 +70,10 @@ def test_a_hub_with_many_aliases(spark, n):
     rows = [(i, f"https://m{i}.net/", '<link rel="canonical" href="https://hub.net/">') for i in range(n)] + [(n, "https://hub.net/", '<link rel=canonical href=https://x.com/de/1>')]
     found = redirects.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES)
     assert {r.verdict for r in found.collect()} == {"block"}
+
+
+def test_a_rule_with_a_root_path_fits_an_alias_that_is_a_root(spark):
+    rules = [redirects.Rule("allow", "org", "/"), redirects.Rule("block", "com", "/de/")]
+    rows = [(1, "https://x.org/", '<link rel=canonical href="https://y.com/de/a">'), (2, "https://z.net/1", '<link rel=canonical href="https://x.org/">'), (3, "https://y.com/de/a", None)]
+    found = redirects.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rules)
+    assert {r.page_id: r.verdict for r in found.collect()} == {1: "allow", 2: "allow", 3: "block"}
