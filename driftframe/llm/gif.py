@@ -2,14 +2,18 @@
 
 The decoder handles whole GIF89a files: code streams of any LZW code size with deferred clears, global
 and local palettes, interlacing, frame positions, transparency and the disposal methods. The encoder
-writes 8-bit grey frames, either with real LZW compression or with literal codes only (a clear before
-codes widen), which is the quick way for data that isn't to shrink.
+writes 8-bit grey frames with LZW compression.
+
+Code streams don't depend on each other, so many are coded or decoded side by side, a code of each at a
+time, by array operations; a table entry of a decoder is the place in the output where its string first
+stands. A stream alone goes through a plain loop.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,12 +24,15 @@ from pyspark.sql import functions as F
 from driftframe.llm.common import small_batches
 
 SIDE = 24
-FRAME = SIDE * SIDE
-#: Literal codes between clears: the code table is never so full that codes take 10 bits.
-_RUN = 254
+#: Payloads are a multiple of UNIT bytes; a frame holds FRAME of them, a last one perhaps fewer.
+UNIT, FRAME = SIDE * SIDE, 2 * SIDE * SIDE
 _GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
-#: Frames coded at once.
-_BLOCK = 512
+#: Frames coded at once, and pixels at most (but for a single larger frame).
+_BLOCK, _PIXELS = 2048, 1 << 22
+#: Rows of an Arrow batch: so many that enough frames are coded side by side.
+BATCH_ROWS = 1024
+#: Fewer streams than these are decoded one by one.
+_SIDE_BY_SIDE = 8
 
 
 class GifError(ValueError):
@@ -33,47 +40,86 @@ class GifError(ValueError):
 
 
 def payload(data: bytes) -> bytes:
-    """``data`` with bytes 255 up to a positive multiple of a frame."""
-    return data + b"\xff" * (-len(data) % FRAME or (FRAME if not data else 0))
+    """``data`` with bytes 255 up to a positive multiple of UNIT."""
+    return data + b"\xff" * (-len(data) % UNIT or (UNIT if not data else 0))
+
+
+def encode(data: bytes, delay: int = 4) -> bytes:
+    """A GIF of frames of SIDE x 2 SIDE that holds ``payload(data)``, a byte per pixel; ``delay`` in 1/100 s."""
+    return encode_many([data], delay)[0]
 
 
-def _literal_codes() -> np.ndarray:
-    """For each code of a frame, the index of its pixel; -1 clear, -2 end."""
+def encode_many(texts: list[bytes], delay: int = 4) -> list[bytes]:
+    """``encode`` of each of ``texts``."""
+    start, rest = b"GIF89a" + struct.pack("<HH", SIDE, FRAME // SIDE), b"\xf7\0\0" + _GREY + b"\x21\xff\x0bNETSCAPE2.0\x03\x01\0\0\0"
+    control = b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, delay, 0, 0)
+    held = [payload(t) for t in texts]
+    whole, last = (_streams([d[a : a + n] for d in held for a in places(d)], n) for n, places in ((FRAME, lambda d: range(0, len(d) // FRAME * FRAME, FRAME)), (UNIT, lambda d: range(len(d) // FRAME * FRAME, len(d), UNIT))))
     out = []
-    for at in range(0, FRAME, _RUN):
-        out += [-1, *range(at, min(at + _RUN, FRAME))]
-    return np.array([*out, -2])
-
-
-_LAYOUT = _literal_codes()
-_STREAM = (9 * len(_LAYOUT) + 7) // 8
-
-
-def encode(data: bytes, delay: int = 4, compress: bool = False) -> bytes:
-    """A GIF of SIDE x SIDE frames that holds ``payload(data)``, a byte per pixel; ``delay`` in 1/100 s."""
-    pixels = np.frombuffer(payload(data), np.uint8).reshape(-1, FRAME)
-    out = [b"GIF89a", struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0), _GREY, b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00"]
-    head = b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, delay, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
-    if compress:
-        for frame in pixels:
-            stream = lzw_encode(frame.tobytes(), 8)
-            out += [head, *(bytes([len(stream[a : a + 255])]) + stream[a : a + 255] for a in range(0, len(stream), 255)), b"\0"]
-        return b"".join([*out, b"\x3b"])
-    sizes = [min(255, _STREAM - a) for a in range(0, _STREAM, 255)]
-    for at in range(0, len(pixels), _BLOCK):
-        part = pixels[at : at + _BLOCK]
-        codes = np.empty((len(part), len(_LAYOUT)), np.uint16)
-        codes[:, _LAYOUT >= 0] = part[:, _LAYOUT[_LAYOUT >= 0]]
-        codes[:, _LAYOUT == -1], codes[:, _LAYOUT == -2] = 256, 257
-        bits = (codes[:, :, None] >> np.arange(9, dtype=np.uint16) & 1).astype(np.uint8).reshape(len(part), -1)
-        stream = np.packbits(bits, axis=1, bitorder="little")
-        columns, a = [np.broadcast_to(np.frombuffer(head, np.uint8), (len(part), len(head)))], 0
-        for n in sizes:
-            columns += [np.full((len(part), 1), n, np.uint8), stream[:, a : a + n]]
-            a += n
-        columns.append(np.zeros((len(part), 1), np.uint8))
-        out.append(np.concatenate(columns, axis=1).tobytes())
-    return b"".join([*out, b"\x3b"])
+    for data in held:
+        parts = [start, rest]
+        for at in range(0, len(data), FRAME):
+            long = min(FRAME, len(data) - at)
+            stream = next(whole if long == FRAME else last)
+            parts += [control, b"\x2c", struct.pack("<HHHHB", 0, 0, SIDE, long // SIDE, 0), b"\x08"]
+            for a in range(0, len(stream), 255):
+                parts += [bytes([min(255, len(stream) - a)]), stream[a : a + 255]]
+            parts.append(b"\0")
+        out.append(b"".join([*parts, b"\x3b"]))
+    return out
+
+
+def _streams(parts: list[bytes], long: int) -> Iterator[bytes]:
+    """The code streams of parts of ``long`` bytes each, a block at a time."""
+    for at in range(0, len(parts), _BLOCK):
+        yield from lzw_encode_many(np.frombuffer(b"".join(parts[at : at + _BLOCK]), np.uint8).reshape(-1, long))
+
+
+def _widths(codes: int, size: int = 8) -> np.ndarray:
+    """Bits of the k-th code after a clear, for k up to ``codes``."""
+    return np.clip(np.ceil(np.log2(np.arange(codes) + (1 << size) + 2)), size + 1, 12).astype(np.int64)
+
+
+def lzw_encode_many(pixels: np.ndarray) -> list[bytes]:
+    """The LZW code streams, for a code size of 8, of each row of bytes; rows so short that no table fills up."""
+    n, m = pixels.shape
+    if m > 2048 - 258:
+        return [lzw_encode(row.tobytes(), 8) for row in pixels]
+    mask = (1 << (3 * m).bit_length()) - 1  # an open hash table for each row: prefix, byte and their code in one number
+    table, first, line = np.zeros(n * (mask + 1), np.int32), np.arange(n) * (mask + 1), np.arange(n) * m
+    columns = np.ascontiguousarray(pixels.T).astype(np.int64)
+    prefix, count, said = columns[0].copy(), np.zeros(n, np.int64), np.zeros(n * m, np.int16)
+    for byte in columns[1:]:
+        key = (prefix << 8 | byte) + 1
+        slot = first + (key * 40503 >> 4 & mask)
+        there = table.take(slot)
+        missed = there >> 11 != key
+        other = np.flatnonzero(missed & (there != 0))
+        while len(other):
+            moved = first[other] + (slot[other] + 1 & mask)
+            slot[other], there[other] = moved, (now := table.take(moved))
+            missed[other] = differ = now >> 11 != key[other]
+            other = other[differ & (now != 0)]
+        new = np.flatnonzero(missed)
+        end = count[new]
+        said[line[new] + end] = prefix[new]
+        table[slot[new]] = key[new] << 11 | end + 258
+        count[new] = end + 1
+        prefix = np.where(missed, byte, there & 2047)
+    said[line + count] = prefix
+    said, rows, count = said.reshape(n, m), np.arange(n), count + 1
+    # codes take 9 bits or more, so no two start in one byte
+    widths = _widths(m + 1)
+    starts = 9 + np.concatenate(([0], np.cumsum(widths)))
+    long = (starts[count] + widths[count] + 7) // 8
+    out = np.zeros((n, int(long.max()) + 3), np.uint8)
+    out[:, 1] = 1  # the clear, 256
+    row, k = np.nonzero(np.arange(m) < count[:, None])
+    for row, value, bit in ((row, said[row, k].astype(np.int64), starts[k]), (rows, np.full(n, 257), starts[count])):
+        value = value << (bit & 7)
+        for byte in range(3):
+            out[row, (bit >> 3) + byte] |= (value >> 8 * byte & 255).astype(np.uint8)
+    return [o[:e].tobytes() for o, e in zip(out, long.tolist())]
 
 
 def lzw_encode(data: bytes, size: int) -> bytes:
@@ -114,24 +160,79 @@ def lzw_encode(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
-_WEIGHTS = (1 << np.arange(9, dtype=np.uint16)).astype(np.uint16)
+def lzw_decode_many(streams: list[bytes], sizes: list[int], pixels: list[int]) -> list[np.ndarray | GifError]:
+    """``lzw_decode`` of each of ``streams``, or what it would raise."""
+    if len(streams) < _SIDE_BY_SIDE:
+        return [_or_error(*x) for x in zip(streams, sizes, pixels)]
+    n, most = len(streams), np.array(pixels, np.int64)
+    ends = np.array([8 * len(s) for s in streams])
+    wide = int(ends.max()) // 8 + 3
+    data = np.frombuffer(b"".join(s.ljust(wide, b"\0") for s in streams) + b"\0\0", np.uint8).astype(np.int64)
+    data = data[:-2] | data[1:-1] << 8 | data[2:] << 16
+    room = min(int(most.max()), 4096) + 1
+    begun, long = np.zeros(n * room, np.int64), np.zeros(n * room, np.int64)  # of each code since the clear: its place in the output, its length
+    row, told, bad, total = np.arange(n), [], np.zeros(n, bool), np.zeros(n, np.int64)
+    made, bit, since, clear = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), 1 << np.array(sizes, np.int64)
+    left, low = most, np.array(sizes, np.int64) + 1
+    while len(row):
+        width = np.minimum(np.maximum(_BITS.take(np.minimum(since + clear + 1, 4095)), low), 12)
+        code = data.take(row * wide + (bit >> 3)) >> (bit & 7) & (1 << width) - 1
+        bit = bit + width
+        entry = code - clear - 2  # of the code that first made it
+        literal = entry < -2
+        wrong = (bit > ends[row]) | (entry >= np.minimum(since, 4094 - clear))
+        halt = wrong | (entry == -2) | (entry == -1)
+        some = bool(halt.any())
+        places = row * room + np.maximum(entry, 0)
+        length = np.where(literal, 1, long.take(places) + 1)
+        source = np.where(literal, -1 - code, begun.take(places))
+        places = row * room + np.minimum(since, room - 1)
+        if some:
+            go = ~halt
+            bad[row[wrong]] = True
+            begun[places[go]], long[places[go]] = made[go], length[go]
+            told.append((row[go], made[go], np.minimum(length, left - made)[go], source[go]))
+            made = np.where(go, made + length, made)
+            since = np.where(go, since + 1, 0)
+        else:
+            begun[places], long[places] = made, length
+            told.append((row, made, np.minimum(length, left - made), source))
+            made, since = made + length, since + 1
+        on = (made < left) & ~(wrong | (entry == -1)) if some else made < left
+        if not on.all():
+            total[row] = made
+            row, bit, since, made, clear, left, low = (x[on] for x in (row, bit, since, made, clear, left, low))
+    made = total
+    bases = np.concatenate(([0], np.cumsum(most)))
+    r, at, length, source = (np.concatenate([t[k] for t in told]) if told else np.zeros(0, np.int64) for k in range(4))
+    # a byte of the output is a literal or points to an earlier byte
+    points = np.zeros(bases[-1], np.int64)
+    spans = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    places = np.repeat(bases[r] + at, length) + spans
+    values = np.zeros(bases[-1], np.uint8)
+    values[(bases[r] + at)[source < 0]] = -1 - source[source < 0]
+    points[places] = np.where(np.repeat(source < 0, length), places, np.repeat(bases[r] + source, length) + spans)
+    while (further := points[points]).any() and (further != points).any():
+        points = further
+    out = values[points]
+    short = bad | (made < most)
+    return [GifError("the code stream ends early or has a code that isn't in the table") if s else out[a:b] for s, a, b in zip(short.tolist(), bases[:-1].tolist(), bases[1:].tolist())]
+
+
+#: Bits of a number up to 4095.
+_BITS = np.array([k.bit_length() for k in range(4096)])
+
+
+def _or_error(stream: bytes, size: int, pixels: int) -> np.ndarray | GifError:
+    try:
+        return lzw_decode(stream, size, pixels)
+    except GifError as e:
+        return e
 
 
 def lzw_decode(stream: bytes, size: int, pixels: int) -> np.ndarray:
     """Palette indices of a code stream; more than ``pixels`` are cut, fewer raise."""
     clear, end = 1 << size, (1 << size) + 1
-    if size == 8:  # codes of 9 bits that are all literals, with a clear in time, need no table
-        whole = len(stream) * 8 // 9
-        codes = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little", count=9 * whole).reshape(-1, 9) @ _WEIGHTS
-        stop = np.flatnonzero(codes == end)
-        if len(stop) and codes[0] == clear and codes[: stop[0]].max() <= clear:
-            codes = codes[: stop[0]]
-            gaps = np.diff(np.append(np.flatnonzero(codes == clear), len(codes)))
-            if gaps.max() <= _RUN + 1:
-                out = codes[codes < clear].astype(np.uint8)
-                if len(out) < pixels:
-                    raise GifError("too few pixels")
-                return out[:pixels]
     acc, held, at, width, previous = 0, 0, 0, size + 1, b""
     table: list[bytes] = [bytes([k]) for k in range(clear)] + [b"", b""]
     out, made = [], 0
@@ -191,8 +292,21 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
         at += 1 + n
 
 
-def decode(data: bytes) -> Iterator[Frame]:
-    """The frames of a GIF file, one at a time, as shown after palette, transparency and disposal."""
+@dataclass
+class Image:
+    """An image block as it is in the file; ``screen`` is the canvas (height, width)."""
+
+    screen: tuple[int, int]
+    control: tuple[int, int, int | None]  # disposal, delay in 1/100 s, transparent index
+    box: tuple[int, int, int, int]
+    interlaced: bool
+    colours: np.ndarray
+    size: int
+    stream: bytes
+
+
+def images(data: bytes) -> Iterator[Image]:
+    """The image blocks of a GIF file."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise GifError("not a GIF file")
     wide, high, flags, _, _ = struct.unpack("<HHBBB", data[6:13])
@@ -200,8 +314,7 @@ def decode(data: bytes) -> Iterator[Frame]:
     if flags & 0x80:
         n = 3 << (flags & 7) + 1
         palette, at = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3), at + n
-    rgb, shown = np.zeros((high, wide, 3), np.uint8), np.zeros((high, wide), bool)
-    control, clock, count = (0, 0, None), 0, 0
+    control = (0, 0, None)
     while True:
         if at >= len(data):
             raise GifError("no trailer")
@@ -227,33 +340,94 @@ def decode(data: bytes) -> Iterator[Frame]:
         if not 2 <= size <= 8:
             raise GifError(f"code size {size}")
         stream, at = _blocks(data, at + 1)
-        indices = lzw_decode(stream, size, w * h).reshape(h, w)
-        if own & 0x40:
+        yield Image((high, wide), control, (left, top, w, h), bool(own & 0x40), colours, size, stream)
+        control = (0, 0, None)
+
+
+def _indexed(found: Iterable[tuple[int, Image | GifError]]) -> Iterator[tuple[int, Image | GifError, np.ndarray | GifError]]:
+    """With the decoded stream of each image, a block of images at a time; errors pass."""
+    block, pixels = [], 0
+
+    def decoded():
+        own = [i for _, i in block if isinstance(i, Image)]
+        told = iter(lzw_decode_many([i.stream for i in own], [i.size for i in own], [i.box[2] * i.box[3] for i in own]))
+        return ((f, i, next(told) if isinstance(i, Image) else i) for f, i in block)
+
+    for f, i in found:
+        n = i.box[2] * i.box[3] if isinstance(i, Image) else 0
+        if block and (len(block) == _BLOCK or pixels + n > _PIXELS):
+            yield from decoded()
+            block, pixels = [], 0
+        block.append((f, i))
+        pixels += n
+    yield from decoded()
+
+
+def decode_many(files: list[bytes]) -> Iterator[tuple[int, Frame | GifError]]:
+    """(number of the file, frame) of all frames of GIF files, as shown after palette, transparency and disposal.
+
+    A damaged file gives its frames up to the damage, then the error.
+    """
+
+    def parsed():
+        for f, data in enumerate(files):
+            try:
+                yield from ((f, i) for i in images(data))
+            except (GifError, IndexError, struct.error, ValueError) as e:
+                yield f, GifError(str(e) or "damaged")
+
+    here, rgb, shown, clock, count = -1, None, None, 0, 0
+    dead = -1
+    for f, image, indices in _indexed(parsed()):
+        if f == dead:
+            continue
+        if isinstance(indices, GifError):
+            dead = f
+            yield f, indices
+            continue
+        if f != here:
+            here, clock, count = f, 0, 0
+            rgb, shown = np.zeros((*image.screen, 3), np.uint8), np.zeros(image.screen, bool)
+        (high, wide), (left, top, w, h) = image.screen, image.box
+        indices = indices.reshape(h, w)
+        if image.interlaced:
             rows = [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]
             straight = np.empty_like(indices)
             straight[rows] = indices
             indices = straight
-        disposal, delay, clear = control
+        disposal, delay, clear = image.control
         before = (rgb.copy(), shown.copy()) if disposal == 3 else None
         fits = (slice(top, min(top + h, high)), slice(left, min(left + w, wide)))
         part = indices[: max(0, high - top), : max(0, wide - left)]
-        paint = part < len(colours) if clear is None else (part != clear) & (part < len(colours))
-        rgb[fits][paint] = colours[part[paint]]
-        shown[fits] |= paint
-        yield Frame(count, clock * 10, delay * 10, disposal, clear, (left, top, w, h), indices, rgb.copy(), shown.copy())
+        if clear is None and len(image.colours) == 256:
+            rgb[fits], shown[fits] = image.colours[part], True
+        else:
+            paint = part < len(image.colours) if clear is None else (part != clear) & (part < len(image.colours))
+            rgb[fits][paint] = image.colours[part[paint]]
+            shown[fits] |= paint
+        yield f, Frame(count, clock * 10, delay * 10, disposal, clear, image.box, indices, rgb.copy(), shown.copy())
         if disposal == 2:
             rgb[fits], shown[fits] = 0, False
         elif disposal == 3:
             rgb, shown = before
-        control, clock, count = (0, 0, None), clock + delay, count + 1
+        clock, count = clock + delay, count + 1
+
+
+def decode(data: bytes) -> Iterator[Frame]:
+    """The frames of a GIF file; damage raises."""
+    for _, frame in decode_many([data]):
+        if isinstance(frame, GifError):
+            raise frame
+        yield frame
 
 
 def histogram(frame: Frame) -> list[int]:
     """Counts of shown pixels by colour: 2 bits of red, green and blue each (64 bins)."""
     c = frame.rgb[frame.shown] >> 6
-    return np.bincount((c[:, 0] << 4 | c[:, 1] << 2 | c[:, 2]).astype(np.int64), minlength=64).tolist()
+    return np.bincount(c @ _BINS, minlength=64).tolist()
 
 
+_BINS = np.array([16, 4, 1], np.uint8)
 FRAMES = "index int, start_ms long, delay_ms long, disposal int, transparent int, left int, top int, width int, height int, histogram array<int>, rgb binary, error string"
 
 
@@ -267,11 +441,11 @@ def frames_table(media: DataFrame, key: str, column: str = "media", keep_pixels:
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
     def rows(data: bytes):
-        try:
-            for f in decode(data):
+        for _, f in decode_many([data]):
+            if isinstance(f, GifError):
+                yield (*[None] * 11, str(f))
+            else:
                 yield (f.index, f.start_ms, f.delay_ms, f.disposal, f.transparent, *f.box, histogram(f), f.rgb.tobytes() if keep_pixels else None, None)
-        except (GifError, IndexError, struct.error) as e:
-            yield (*[None] * 11, str(e) or "damaged")
 
     def run(batches):
         for batch in batches:
@@ -290,22 +464,29 @@ def frames_table(media: DataFrame, key: str, column: str = "media", keep_pixels:
     return media.select(key, column).mapInArrow(run, f"`{key}` {kind}, {FRAMES}")
 
 
-def with_media(docs: DataFrame, delay: int = 4, compress: bool = False, name: str = "media") -> DataFrame:
+def with_media(docs: DataFrame, delay: int = 4, name: str = "media") -> DataFrame:
     """``docs`` with its column ``text`` (null: empty) stored losslessly as GIF bytes in column ``name`` (replaced if there)."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_ROWS)
 
     @F.arrow_udf("binary")
     def stored(texts: pa.Array) -> pa.Array:
-        return pa.array([encode((t or "").encode("utf-8", "surrogatepass"), delay, compress) for t in texts.to_pylist()], pa.binary())
+        return pa.array(encode_many([(t or "").encode("utf-8", "surrogatepass") for t in texts.to_pylist()], delay), pa.binary())
 
     return docs.withColumn(name, stored("text"))
 
 
 def read_back(data: bytes) -> tuple[bytes, list[int], int]:
     """(bytes held by the frames' indices, their summed colour histogram, duration in ms)."""
-    parts, total, end = [], np.zeros(64, np.int64), 0
-    for f in decode(data):
-        parts.append(f.indices.tobytes())
-        total += histogram(f)
-        end = f.start_ms + f.delay_ms
-    return b"".join(parts), total.tolist(), end
+    return read_back_many([data])[0]
+
+
+def read_back_many(files: list[bytes]) -> list[tuple[bytes, list[int], int]]:
+    """``read_back`` of each of ``files``."""
+    parts, totals, ends = [[] for _ in files], np.zeros((len(files), 64), np.int64), [0] * len(files)
+    for f, frame in decode_many(files):
+        if isinstance(frame, GifError):
+            raise frame
+        parts[f].append(frame.indices.tobytes())
+        totals[f] += histogram(frame)
+        ends[f] = frame.start_ms + frame.delay_ms
+    return [(b"".join(p), t.tolist(), e) for p, t, e in zip(parts, totals, ends)]

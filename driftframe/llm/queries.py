@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftframe.llm import chat, digest_cache, gif, langid, oracle, packing, pii, redirects, simhash, spaced_seeds, warc
-from driftframe.llm.common import scratch_path, table
+from driftframe.llm.common import cut, scratch_path, table
 
 
 def op1_error_correcting_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,21 +33,21 @@ def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The media column is made and decoded in one Python step: as a table it would take twice the input's disk."""
-    docs = gif.with_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Media are a table of the shared folder; its frames are decoded from what was written there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    media = cut(gif.with_media(docs).drop("text"), "media", "zstd")
 
     @F.arrow_udf("struct<payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string>")
-    def digests(media: pa.Array) -> pa.Array:
-        rows = []
-        for data in media.to_pylist():
-            back, colours, ms = gif.read_back(data)
+    def digests(column: pa.Array) -> pa.Array:
+        files, rows = column.to_pylist(), []
+        for data, (back, colours, ms) in zip(files, gif.read_back_many(files)):
             used = [f"{k}:{n}" for k, n in enumerate(colours) if n]
             rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), f"{ms}ms " + ",".join(used)))
         names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
-    return docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), digests("media").alias("d")).select("doc_id", "n_bytes", "d.*")
+    return media.select("doc_id", "n_bytes", digests("media").alias("d")).select("doc_id", "n_bytes", "d.*")
 
 
 RULES = [
