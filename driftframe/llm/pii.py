@@ -7,6 +7,9 @@ logistic span classifier is trained on the resulting posteriors. Strict matches
 count; the classifier decides about the other candidates.
 
 Only the table of distinct vote patterns, at most kinds x 3**labelers rows, reaches the driver.
+
+A text's work grows in proportion to its length and, but for sorting, to its candidates: offsets and
+overlaps come from running sums and maxima, which are made block by block.
 """
 
 from __future__ import annotations
@@ -41,22 +44,52 @@ _CUES = {
 }
 _AGAINST = r"(?i)(version|release|section|isbn|figure|table|chapter|order|invoice|serial|\bv)\W*$"
 _TLDS = r"(?i)(com|org|net|edu|gov|info|io|co|de|fr|es|uk|eu|us)$"
-_SPAN = "struct<s:int,e:int,m:string,l:string,r:string>"
+#: Digits of what may be a card.
+CARD_DIGITS = (13, 19)
+_BLOCK = 512
+_FAR = 1 << 62
+
+
+def _running(df: DataFrame, values: dict[str, F.Column], op, zero: int, before: bool = False) -> DataFrame:
+    """``df`` with, per name, the array of what ``op`` makes of an array's longs up to and with each (or before it), from ``zero`` on.
+
+    An array grows by copying, so runs are made within blocks, and each starts from that of the blocks' totals.
+    Arrays that lambdas need are columns used twice: others would be computed again for each element.
+    """
+    first, none = F.lit(zero).cast("long"), F.array().cast("array<bigint>")
+
+    def run(block: F.Column, start: F.Column, before: bool = before) -> F.Column:
+        def step(acc, x):
+            v = op(acc["at"], x)
+            return F.struct(v.alias("at"), F.concat(acc["all"], F.array(acc["at"] if before else v)).alias("all"))
+
+        return F.aggregate(block, F.struct(start.alias("at"), none.alias("all")), step, lambda acc: acc["all"])
+
+    def blocks(v: str) -> F.Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(_BLOCK)), lambda i: F.slice(v, i, _BLOCK))
 
+    df = df.withColumns(values)
+    df = df.withColumns({n: blocks(n) for n in values})
+    totals = lambda n: run(F.transform(n, lambda b: F.aggregate(b, first, op)), first, True)
+    return df.withColumns({n: F.flatten(F.zip_with(n, totals(n), lambda b, s: run(b, s))) for n in values})
 
-def _spans(found: F.Column, gaps: F.Column) -> F.Column:
-    """Arrays of (start, end, match, 24 characters before, first after) of matches and what lies between them, in code points."""
-    none = F.array().cast(f"array<{_SPAN}>")
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), none.alias("all"))
 
-    def step(acc, m):
-        gap, after = F.get(gaps, acc["k"]), F.get(gaps, acc["k"] + 1)
-        s = acc["at"] + F.length(gap)
-        e = s + F.length(m)
-        one = F.struct(s.alias("s"), e.alias("e"), m.alias("m"), F.right(gap, F.lit(24)).alias("l"), F.left(after, F.lit(1)).alias("r"))
-        return F.struct(e.alias("at"), (acc["k"] + 1).alias("k"), F.concat(acc["all"], F.array(one)).alias("all"))
+def _sum(a: F.Column, b: F.Column) -> F.Column:
+    return a + b
 
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, lambda acc: acc["all"])).otherwise(none)
+
+def _most(a: F.Column, b: F.Column) -> F.Column:
+    return F.greatest(a, b)
+
+
+def _least(a: F.Column, b: F.Column) -> F.Column:
+    return F.least(a, b)
+
+
+def _pieces(found: str, gaps: str) -> F.Column:
+    """(match, 24 characters before, first after, characters of what lies before it and of the match) of matches and what lies between them."""
+    left = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.right(g, F.lit(24)).alias("l"), (F.length(g) + F.length(m)).cast("long").alias("n")))
+    return F.zip_with(left, F.slice(gaps, F.lit(2), F.size(found)), lambda x, g: F.struct(x["m"].alias("m"), x["l"].alias("l"), F.left(g, F.lit(1)).alias("r"), x["n"].alias("n")))
 
 
 def _digits(m: F.Column) -> F.Column:
@@ -113,22 +146,28 @@ def candidates(docs: DataFrame) -> DataFrame:
     df = docs.drop("cands").withColumn("__text", text).withColumn("__digit", F.col("__text").rlike("[0-9]"))
     sought = {f"b_{k}": (BASE[k], gates[k]) for k in KINDS} | {f"w_{k}": (WIDE[k], wide_gates[k]) for k in WIDE}
     # column by column, as an expression that is used twice in one projection is computed twice
-    df = df.withColumns({f"__f_{n}": F.when(gate, F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))) for n, (pattern, gate) in sought.items()})
-    df = df.withColumns({f"__g_{n}": F.when(F.size(f"__f_{n}") > 0, F.split("__text", pattern, -1)) for n, (pattern, _) in sought.items()})
-    df = df.withColumns({f"__{n}": _spans(F.col(f"__f_{n}"), F.col(f"__g_{n}")) for n in sought})
+    none = F.array().cast("array<string>")
+    df = df.withColumns({f"__f_{n}": F.when(gate, F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))).otherwise(none) for n, (pattern, gate) in sought.items()})
+    df = df.withColumns({f"__g_{n}": F.when(F.size(f"__f_{n}") > 0, F.split("__text", pattern, -1)).otherwise(none) for n, (pattern, _) in sought.items()})
+    df = df.withColumns({f"__f_{n}": _pieces(f"__f_{n}", f"__g_{n}") for n in sought})
+    df = _running(df, {f"__g_{n}": F.transform(f"__f_{n}", lambda x: x["n"]) for n in sought}, _sum, 0)
 
     def told(kind: str, wide: bool):
-        def one(x):
+        name = f"{'w' if wide else 'b'}_{kind}"
+
+        def one(x, e):
             base = F.lit(False) if wide else _passes(kind, x["m"])
-            return F.struct(F.lit(KINDS.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e"), base.alias("base"), F.array(*_votes(kind, x, base, wide)).alias("v"))
+            return F.struct((e.cast("int") - F.length(x["m"])).alias("s"), (~base).alias("other"), e.cast("int").alias("e"), F.lit(KINDS.index(kind)).alias("k"), F.array(*_votes(kind, x, base, wide)).alias("v"))
 
-        return F.transform(f"__{'w' if wide else 'b'}_{kind}", one)
+        return F.zip_with(f"__f_{name}", f"__g_{name}", one)
 
-    df = df.withColumn("__strict", F.concat(*[told(k, False) for k in KINDS])).withColumn("__wide", F.concat(*[told(k, True) for k in WIDE]))
-    base = F.filter("__strict", lambda x: x["base"])
-    df = df.withColumn("__base", base).withColumn("__other", F.concat(F.filter("__strict", lambda x: ~x["base"]), "__wide"))
-    free = F.filter("__other", lambda x: ~F.exists("__base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return df.withColumn("cands", F.concat("__base", free)).drop("__text", "__digit", "__strict", "__wide", "__base", "__other", *[f"__{x}{n}" for x in ("", "f_", "g_") for n in sought])
+    # by start, base ones first; others stay if no base span started before and goes on, or starts within
+    df = df.withColumn("cands", F.array_sort(F.concat(*[told(k, False) for k in KINDS], *[told(k, True) for k in WIDE])))
+    df = _running(df, {"__f_b_ip": F.transform("cands", lambda x: F.when(x["other"], F.lit(0)).otherwise(x["e"]).cast("long"))}, _most, 0)
+    df = _running(df, {"__g_b_ip": F.reverse(F.transform("cands", lambda x: F.when(x["other"], F.lit(_FAR)).otherwise(x["s"]).cast("long")))}, _least, _FAR)
+    seen = F.zip_with("__f_b_ip", F.reverse("__g_b_ip"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    free = F.zip_with("cands", seen, lambda x, y: F.when(~x["other"] | ((y["a"] <= x["s"]) & (y["b"] >= x["e"])), F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), (~x["other"]).alias("base"), x["v"].alias("v"))))
+    return df.withColumn("cands", F.array_compact(free)).drop("__text", "__digit", *[f"__{x}{n}" for x in ("f_", "g_") for n in sought])
 
 
 @dataclass(frozen=True)
@@ -196,10 +235,12 @@ def classified(found: DataFrame, model: Model) -> DataFrame:
             score = F.when(c["k"] == kind, own).otherwise(score)
         return c["base"] | F.coalesce(score > 0, F.lit(False))
 
-    kept = F.transform(F.filter("cands", accepted), lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e"), c["base"].alias("base")))
+    kept = F.array_sort(F.transform(F.filter("cands", accepted), lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), (-c["e"]).alias("n"), c["base"].alias("base"))))
     # a base span never meets another candidate; two patterns' candidates of one kind may
-    apart = F.filter("__kept", lambda x: x["base"] | ~F.exists("__kept", lambda y: ~y["base"] & (y["k"] == x["k"]) & (y["s"] < x["e"]) & (x["s"] < y["e"]) & ((y["s"] < x["s"]) | ((y["s"] == x["s"]) & (y["e"] > x["e"])))))
-    return found.drop("spans").withColumn("__kept", F.array_sort(kept)).withColumn("spans", apart).drop("__kept")
+    far = lambda c: F.shiftleft(c["k"].cast("long"), 32)
+    found = _running(found.withColumn("spans", kept), {"__reach": F.transform("spans", lambda c: far(c) - c["n"])}, _most, -1, before=True)
+    apart = F.zip_with("spans", "__reach", lambda c, reach: F.when(c["base"] | (reach <= far(c) + c["s"]), F.struct(c["k"].alias("k"), c["s"].alias("s"), (-c["n"]).alias("e"), c["base"].alias("base"))))
+    return found.withColumn("spans", F.array_compact(apart)).drop("__reach")
 
 
 def spans_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -216,9 +257,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     others = F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])  # out of the way of names in use here
     found = cut(candidates(docs.select("text", others.alias("__row"))), "pii-candidates")
-    found = classified(found, fit(found))
-    text = redacted(F.col("text"), F.col("spans"))
-    return found.select(*[text.alias(c) if c == "text" else F.col("__row").getField(c).alias(c) for c in docs.columns])
+    found = redacted(classified(found, fit(found)))
+    return found.select(*[F.col("text") if c == "text" else F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
 def listed(spans: F.Column) -> F.Column:
@@ -227,16 +267,14 @@ def listed(spans: F.Column) -> F.Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))))
 
 
-def redacted(text: F.Column, spans: F.Column) -> F.Column:
-    """``text`` with each span replaced by its kind in brackets; of overlapping spans the earlier start, then the longer, names it."""
+def redacted(found: DataFrame) -> DataFrame:
+    """``found`` with each of ``spans`` in ``text`` replaced by its kind in brackets; of overlapping spans the earlier start, then the longer, names it."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("n"), x["k"].alias("k"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc, x):
-        e, fresh = -x["n"], x["s"] >= acc["at"]
-        part = F.array(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.get(names, x["k"]))
-        return F.struct(F.greatest(acc["at"], e).alias("at"), F.when(fresh, F.concat(acc["parts"], part)).otherwise(acc["parts"]).alias("parts"))
-
-    rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, start, step, rest)).otherwise(text)
+    ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("n"), x["k"].alias("k"))))
+    found = _running(found.withColumn("__spans", ordered), {"__reach": F.transform("__spans", lambda x: (-x["n"]).cast("long"))}, _most, 0, before=True)
+    # a place in a string is found by walking to it, in an array of characters it is there
+    found = found.withColumn("__chars", F.when(F.size("spans") > 0, F.split("text", "")))
+    between = lambda a, b: F.array_join(F.slice("__chars", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")), "")
+    parts = F.zip_with("__spans", "__reach", lambda x, at: F.when(x["s"] >= at, F.concat(between(at, x["s"]), F.get(names, x["k"]))).otherwise(F.lit("")))
+    rest = between(-F.array_min(F.transform("__spans", lambda x: x["n"])), F.size("__chars"))
+    return found.withColumn("text", F.when(F.size("spans") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(F.col("text"))).drop("__spans", "__reach", "__chars")

@@ -75,6 +75,39 @@ def test_method_adds_wide_spans_and_leaves_numbers_alone(spark):
     assert clean[0] == "call [PHONE] now" and clean[30] == "email [EMAIL]." and clean[32] == "card [CARD]," and clean[5] == texts[5]
 
 
+def test_very_long_texts(spark):
+    """400,000 characters each, with up to fifty thousand candidates; quadratic work would take hours."""
+    units = ["123 x ", "+1 555 123 4567, ", "call 555-123-4567, ", "ab@cd.ef ", "1", "@", "+1(", "4111 1111 1111 1111, ", "1.", "a.", "(017) 555-7713 a@b.cd "]
+    texts = [(u * (1 + 400_000 // len(u)))[:400_000] for u in units]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: [(pii.KINDS[s.k], s.s, s.e) for s in r.spans if s.base] for r in pii.spans_of(docs).collect()}
+    for i, t in enumerate(texts):
+        if len(set(t)) > 2:  # the plain patterns take forever on the others, which hold nothing
+            assert got[i] == brute(t)
+    assert not (got[4] or got[5] or got[9])
+    clean = {r.text[:20]: len(r.text) for r in pii.redact(docs).collect()}
+    assert clean["[EMAIL] [EMAIL] [EMA"] == sum(len("[EMAIL]") - e + s for _, s, e in got[3]) + 400_000
+
+
+def test_overlaps_are_those_of_brute_force(spark):
+    rng = __import__("random").Random(6)
+    for base in (True, False):
+        cands = [[(rng.randrange(2), s := rng.randrange(60), s + rng.randrange(1, 12), base and rng.random() < 0.2, [1, 1, 1, 1]) for _ in range(rng.randrange(30))] for _ in range(60)]
+        cands = [[c for c in own if c[3] or not any(b[3] and b[1] < c[2] and c[1] < b[2] for b in own)] for own in cands]
+        cands = [[c for i, c in enumerate(own) if not (c[3] and any(b[3] and b[0] == c[0] and b[1] < c[2] and c[1] < b[2] for b in own[:i]))] for own in cands]
+        found = spark.createDataFrame([(i, "abcdefghij" * 8, own) for i, own in enumerate(cands)], "doc_id long, text string, cands array<struct<k:int,s:int,e:int,base:boolean,v:array<int>>>")
+        spans = pii.classified(found, pii.Model({}, {}, {k: [1.0, 1.0, 1.0, 1.0, 1.0] for k in range(4)}))
+        for r, s in zip(sorted(spans.collect(), key=lambda r: r.doc_id), sorted(pii.redacted(spans).collect(), key=lambda r: r.doc_id)):
+            own = sorted({c[:4] for c in map(tuple, r.cands)}, key=lambda c: (c[0], c[1], -c[2]))
+            want = [c for c in own if c[3] or not any(not d[3] and d[0] == c[0] and d[1] < c[2] and c[1] < d[2] and (d[1] < c[1] or d[1] == c[1] and d[2] > c[2]) for d in own)]
+            assert sorted({tuple(x) for x in r.spans}) == sorted(want)
+            text, at = "", 0
+            for k, a, b, _ in sorted(map(tuple, r.spans), key=lambda x: (x[1], -x[2], x[0])):
+                text += r.text[at:a] + f"[{pii.KINDS[k].upper()}]" if a >= at else ""
+                at = max(at, b)
+            assert s.text == text + r.text[at:]
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(None, "a@b.cd", 1), (None, "a@b.cd", 1), (3, None, 2)], "doc_id long, text string, cands int")
     assert sorted(str(r.text) for r in pii.redact(docs).collect()) == ["None", "[EMAIL]", "[EMAIL]"]
