@@ -1,14 +1,17 @@
 """SimHash near-duplicates by multi-index hashing.
 
-``near_duplicates`` links fingerprints of 64 bits at two or fewer bits, and loses none. The 64-bit
-fingerprint is split into segments. For each segment the radius-1 Hamming ball is enumerated and a table
-is keyed by (ball member, the other segments as they are). Two fingerprints within two bits share a key:
-if they differ in bits i and j, flipping i in one and j in the other meets. Those who share a key are at most 65, all within one bit of it, so a star of links from the
-smallest member (verified by the complete distance) connects them without emitting pairs.
-
-``similar`` is for texts that share four fifths of their five-word shingles, and loses none either: of two
-such sets, each in one order that holds for all, the first fifths share a shingle. Those who share one, at
-places that leave enough to share, are candidates; the exact similarity of the sets decides.
+``near_duplicates`` links fingerprints of 64 bits at two or fewer bits, and loses none. The fingerprint is
+split into segments, with a table of its values for each. Of two fingerprints within two bits, one segment
+differs in ``2 // segments`` bits at most: one's small Hamming ball in that segment holds the other's value,
+and the complete distances of the table's matches are verified. Entries with many fingerprints aren't paired:
+those that look into them meet in the whole fingerprint's radius-1 balls, whose entries hold 65 at most, all
+within two bits of each other, so a star of links from the smallest connects them.
+
+``similar`` is for texts that share four fifths of their five-word shingles. Fingerprints of 64 bits can't tell
+those (they differ in ten bits and more), so the tables only give the first candidates. The others: of two such
+sets of shingles, each in one order that holds for all, the first fifths share a shingle, so those who share
+one, at places that leave enough to share, are candidates. Candidates whose fingerprints of BITS bits are too
+far apart go, and the exact similarity of the sets decides.
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ from driftframe.llm.common import cut, small_batches
 from driftframe.llm.components import connected_components
 
 SEED = 42
-SEGMENTS = 4
+SEGMENTS = 3
+#: Fingerprints of a table entry that are paired; those of larger entries meet in whole-fingerprint balls.
+PAIRED = 64
 #: Texts, about, from which common shingles are learned, and those of them that are put last in the order. They bear on the effort only.
-SAMPLE, COMMON = 5_000, 20_000
-#: Least shingles of a text, by as many hashes, whose links are looked at first.
-MINS = 6
+SAMPLE, COMMON = 20_000, 500_000
+#: Bits that sort out candidates, and how many may differ. At a similarity of 0.8, one in 10**7 pairs differs in more.
+BITS, APART = 256, 70
 #: 64-bit words of the bitmap of texts whose shingles are compared.
 WORDS = 1 << 15
 _PART = 1 << 14
@@ -63,20 +68,24 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def _described(text: str | None, words: int, common: np.ndarray, place: np.ndarray) -> tuple[int, int, list[int], list[int]]:
-    """(hash of the set of shingles, its size, its first fifth and one more, its least by MINS hashes); zeros and none without a word.
+    """(hash of the set of shingles, its size, its SimHash of BITS bits, its first fifth and one more); zeros and none without a word.
 
     In order are those that aren't in ``common`` (sorted), by hash, then those that are, by ``place``.
     """
     hashes = np.unique(shingle_hashes(text, words))
     if not len(hashes):
-        return 0, 0, [], []
+        return 0, 0, [0] * (BITS // 64), []
     late = np.zeros(len(hashes), np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
         late = np.where(common[at] == hashes, place[at], 0)
     first = hashes[np.lexsort((hashes, late))[: len(hashes) // 5 + 1]]
-    least = [((hashes ^ (hashes >> np.uint64(29))) * np.uint64(2 * k + 1)).min() for k in (0x4F1BBCDC, 0x6A09E667, 0x3C6EF372, 0x510E527F, 0x1F83D9AB, 0x5BE0CD19)[:MINS]]
-    return _signed(xxh64_intdigest(hashes.tobytes(), SEED)), len(hashes), first.view(np.int64).tolist(), np.array(least, np.uint64).view(np.int64).tolist()
+    mixed = hashes[:, None] * _MIX
+    return _signed(xxh64_intdigest(hashes.tobytes(), SEED)), len(hashes), _majority(mixed ^ (mixed >> np.uint64(32))).tolist(), first.view(np.int64).tolist()
+
+
+#: Odd numbers that make further hashes of one.
+_MIX = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)[: BITS // 64]
 
 
 def with_fingerprint(docs: DataFrame, words: int = 3, name: str = "fp") -> DataFrame:
@@ -93,23 +102,46 @@ def with_fingerprint(docs: DataFrame, words: int = 3, name: str = "fp") -> DataF
 def links(fingerprints: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     """Links (a, b), a < b, that connect the distinct longs ``fp`` lying within two bits of each other.
 
-    Not all pairs: within a table entry, a star. Every pair within two bits is connected by them, and
-    every link is within two bits. Empty in, empty out.
+    Every pair within two bits is connected by them, and every link is within two bits. More ``segments`` (2 to
+    8) make smaller balls and larger entries. Empty in, empty out.
     """
-    width = 64 // segments
-    balls = [[0] * (s == 0) + [_signed(1 << (s * width + i)) for i in range(width)] for s in range(segments)]
-    masks = F.array(*[F.lit(m) for ball in balls for m in ball])
-    keyed = fingerprints.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("key"))
-    met = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where("size(all) > 1")
-    pairs = met.select("a", F.explode("all").alias("b")).where("a < b").distinct()
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
+    if not 2 <= segments <= 8:
+        raise ValueError("2 to 8 segments")
+    edges = [64 * s // segments for s in range(segments + 1)]
+    spans = list(zip(edges, edges[1:]))
+
+    def key(s: int, fp: F.Column) -> F.Column:
+        low, high = spans[s]
+        return F.shiftrightunsigned(fp, low).bitwiseAND((1 << high - low) - 1) + F.lit(s << 33)
+
+    def keyed(masks: list[list[int]]) -> DataFrame:
+        each = F.array(*[key(s, F.col("fp").bitwiseXOR(F.lit(_signed(m)))) for s in range(segments) for m in masks[s]])
+        return fingerprints.select("fp", F.explode(each).alias("key"))
+
+    tables = keyed([[0]] * segments)
+    sizes = tables.groupBy("key").agg(F.count("*").alias("n"))
+    if 2 // segments:  # balls of radius 1 look into the tables
+        looks = keyed([[0, *(1 << i for i in range(*span))] for span in spans])
+        known = sizes.where(F.col("n") <= PAIRED).select("key")
+    else:
+        looks = tables
+        known = sizes.where(F.col("n").between(2, PAIRED)).select("key")
+    x, y = looks.select(F.col("fp").alias("x"), "key"), tables.join(known, "key", "left_semi").select(F.col("fp").alias("y"), "key")
+    near = (F.col("x") != F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 2)
+    pairs = x.join(y.hint("shuffle_hash"), "key").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    crowded = looks.join(sizes.where(F.col("n") > PAIRED).select("key"), "key", "left_semi").select("fp").distinct()
+    balls = F.array(*[F.col("fp").bitwiseXOR(F.lit(_signed(m))) for m in (0, *(1 << i for i in range(64)))])
+    met = crowded.select("fp", F.explode(balls).alias("key")).groupBy("key").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where("size(all) > 1")
+    stars = met.select("a", F.explode("all").alias("b")).where("a < b")
+    return pairs.union(stars).distinct()
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, segments: int = SEGMENTS) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over fingerprints at two or fewer bits.
 
     Null and empty texts share fingerprint zero and are linked like any other. Copies meet in one
@@ -118,31 +150,51 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """
     hashed = cut(with_fingerprint(docs.select("doc_id", "text"), words).select("doc_id", "fp"), "fingerprints")
     firsts = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    labels = connected_components(links(firsts))
+    labels = connected_components(links(firsts, segments))
     joined = firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
     lowest = joined.where("component is not null").groupBy("component").agg(F.min("low").alias("component_low"))
     classes = joined.join(lowest, "component", "left").select("fp", F.coalesce("component_low", "low").alias("component_id"))
     return hashed.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def _met(keyed: DataFrame) -> DataFrame:
-    """Distinct pairs (b, a), a < b, of nodes of different components that share a key, of ``keyed`` (key, node, component).
+def _leave_enough(x: str, y: str) -> F.Column:
+    """Two sets that share a key at these places, and none before, can share four fifths."""
+    return F.expr(f"9 * least({x}_n - {x}_pos, {y}_n - {y}_pos) >= 4 * ({x}_n + {y}_n)")
+
+
+def _sides(entries: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    return tuple(entries.select("key", *[F.col(c).alias(f"{n}_{c}") for c in columns]) for n in "xy")
+
+
+def _stars(entries: DataFrame) -> DataFrame:
+    """Distinct pairs (b, a), a < b, of nodes that share a key, of ``entries`` (key, node, n, pos): each key's members meet one of them, another for each key."""
+    centre = F.min_by(F.struct("node", "n", "pos"), F.xxhash64("key", "node"))
+    centres = entries.groupBy("key").agg(centre.alias("c")).select("key", *[F.col(f"c.{n}").alias(f"y_{n}") for n in ("node", "n", "pos")])
+    pairs = _sides(entries, ["node", "n", "pos"])[0].join(centres, "key").where(F.col("x_node") != F.col("y_node")).where(_leave_enough("x", "y"))
+    return pairs.select(F.greatest("x_node", "y_node").alias("b"), F.least("x_node", "y_node").alias("a")).distinct()
 
-    With columns n and pos, the sizes of their sets and the key's place in them, only of those that can share
-    four fifths if they share none before. Of an entry's largest component, no member meets another.
+
+def _met(entries: DataFrame) -> DataFrame:
+    """Distinct pairs (b, a), a < b, of nodes of different components that share a key, of ``entries`` (key, node, n, pos, component).
+
+    All pairs that can share four fifths, but for those within a component.
     """
-    mixed = keyed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").select("key")
-    sought = cut(keyed.join(mixed.hint("shuffle_hash"), "key"), "similar-sought")
-    sizes = sought.groupBy("key", "component").agg(F.count("*").alias("members"))
-    largest = sizes.groupBy("key").agg(F.max_by("component", "members").alias("main"))
-    rest = sought.join(largest, "key").where("component <> main").drop("main")
-    x, y = (df.select("key", *[F.col(c).alias(f"{n}_{c}") for c in keyed.columns if c != "key"]) for df, n in ((rest, "x"), (sought, "y")))
-    pairs = x.join(y, "key").where("x_component <> y_component")
-    if "pos" in keyed.columns:
-        pairs = pairs.where("9 * least(x_n - x_pos, y_n - y_pos) >= 4 * (x_n + y_n)")
+    sizes = entries.groupBy("key", "component").agg(F.count("*").alias("members"))
+    main = sizes.groupBy("key").agg(F.max_by("component", "members").alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
+    rest, all_ = _sides(entries, ["node", "n", "pos", "component"])
+    rest = rest.join(main, "key").where("x_component <> main").drop("main")
+    pairs = rest.join(all_, "key").where("x_component <> y_component").where(_leave_enough("x", "y"))
     return pairs.select(F.greatest("x_node", "y_node").alias("b"), F.least("x_node", "y_node").alias("a")).distinct()
 
 
+def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose fingerprints of BITS bits (``sets``: node, bits) differ in APART at most."""
+    for n in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(n), *[F.col("bits")[k].alias(f"{n}{k}") for k in range(BITS // 64)]), n)
+    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(BITS // 64)), F.lit(0))
+    return pairs.where(apart <= APART).select("b", "a")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) whose sets of shingles have a similarity of 0.8 or more.
 
@@ -180,7 +232,7 @@ def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, words)).view(np.int64))], ["h"])
 
     sample = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(every)) == 0)
-    counts = sample.mapInArrow(shingled, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 5")
+    counts = sample.mapInArrow(shingled, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
     found = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     hashes = found["h"].to_numpy().view(np.uint64)
     at = np.argsort(hashes)
@@ -191,33 +243,43 @@ def similar(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, h_text, group) per row of ``docs`` (doc_id, text): rows of one group are near-duplicates.
 
     ``group`` is the hash of a set of shingles, the smallest of those linked at a similarity of 0.8 or more;
-    ``h_text`` is XXH64 of the text. Copies meet in one set. Null and empty texts are one group. Stars over
-    the texts' least shingles link most of a group first, so that few pairs of it are left to look at.
+    ``h_text`` is XXH64 of the text. Copies meet in one set. Null and empty texts are one group. The segment
+    tables' links, and stars within the sets' entries, link most of a large group first, so that few pairs of
+    it are left to look at.
     """
     small_batches(docs.sparkSession)
     common, place = _common(docs, words)
+    shared = docs.sparkSession.sparkContext.broadcast((common, place))
 
-    @F.arrow_udf("struct<node:long,n:int,keys:array<long>,mins:array<long>>")
+    @F.arrow_udf("struct<node:long,n:int,bits:array<long>,keys:array<long>>")
     def described(texts: pa.Array) -> pa.Array:
-        found = list(zip(*[_described(t, words, common, place) for t in texts.to_pylist()])) or [()] * 4
-        kinds = {"node": pa.int64(), "n": pa.int32(), "keys": pa.list_(pa.int64()), "mins": pa.list_(pa.int64())}
+        found = list(zip(*[_described(t, words, *shared.value) for t in texts.to_pylist()])) or [()] * 4
+        kinds = {"node": pa.int64(), "n": pa.int32(), "bits": pa.list_(pa.int64()), "keys": pa.list_(pa.int64())}
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(found, kinds.values())], list(kinds))
 
     rows = cut(docs.select("doc_id", F.xxhash64("text").alias("h_text"), described("text").alias("s")).select("doc_id", "h_text", "s.*"), "shingled")
-    least = rows.select("node", F.posexplode("mins").alias("nth", "key")).distinct()
-    lows = least.groupBy("nth", "key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last")
-    stars = cut(least.join(lows, ["nth", "key"]).where("a < node").select("a", F.col("node").alias("b")).distinct(), "similar-stars")
-    labels = connected_components(cut(_verified(stars, rows, docs, words), "similar-links"), "similar")
-
-    sets = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).join(labels, "node", "left")
-    keys = sets.select("node", F.coalesce("component", "node").alias("component"), "n", F.posexplode("keys").alias("pos", "key"))
+    members = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("node", "n", F.posexplode("keys").alias("pos", "key"))
     parts = 1 + int(rows.agg(F.sum(F.size("keys"))).first()[0] or 0) // PART_KEYS  # so many as keep a task's keys in memory
-    met = cut(_met(keys.repartition(parts, "key")), "similar-meetings")
-    links = _verified(met, rows, docs, words)
+    members = members.repartition(parts, "key")
+    several = members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key")
+    entries = cut(members.join(several.hint("shuffle_hash"), "key"), "similar-entries")
+
+    sets = cut(rows.groupBy("node").agg(F.first("bits").alias("bits")), "similar-fingerprints")
+    fps = sets.select("node", F.col("bits")[0].alias("fp"))
+    near = links(fps.select("fp").distinct())
+    lows = fps.groupBy("fp").agg(F.min("node").alias("low"))  # of sets with one fingerprint, the smallest stands for them here
+    near = near.join(lows.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(lows.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b")
+    near = near.select(F.greatest("x", "y").alias("b"), F.least("x", "y").alias("a"))
+    first = cut(_close(_stars(entries).union(near).distinct(), sets), "similar-first")
+    labels = connected_components(cut(_verified(first, rows, docs, words), "similar-links"), "similar")
+
+    grouped = entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    met = cut(_close(_met(cut(grouped, "similar-grouped")), sets), "similar-met")
+    more = _verified(met, rows, docs, words)
     for n in "ab":
         inside = labels.select(F.col("node").alias(n), F.col("component").alias(f"{n}_in"))
-        links = links.join(inside, n, "left").withColumn(n, F.coalesce(f"{n}_in", n)).drop(f"{n}_in")
-    lower = connected_components(cut(links, "similar-links"), "similar").select(F.col("node").alias("component"), F.col("component").alias("lower"))
+        more = more.join(inside, n, "left").withColumn(n, F.coalesce(f"{n}_in", n)).drop(f"{n}_in")
+    lower = connected_components(cut(more, "similar-links"), "similar").select(F.col("node").alias("component"), F.col("component").alias("lower"))
     group = rows.select("doc_id", "h_text", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return group.join(lower, "component", "left").select("doc_id", "h_text", F.coalesce("lower", "component").alias("group"))
 

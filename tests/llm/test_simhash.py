@@ -39,15 +39,17 @@ def test_op6(spark):
     assert {tuple(r) for r in queries.op6_simhash(spark, SF).collect()} == want
 
 
-def test_links_connect_all_within_two_bits(spark):
+@pytest.mark.parametrize("segments, paired", [(2, 64), (3, 64), (4, 64), (2, 3), (3, 3)])
+def test_links_connect_all_within_two_bits(spark, monkeypatch, segments, paired):
+    monkeypatch.setattr(simhash, "PAIRED", paired)  # so that entries are crowded
     rng = random.Random(5)
-    fps = [0, 1, 3, 7, 0xFFFF << 48]
+    fps = [0, 1, 3, 7, 0xFFFF << 48, *(5 << 40 | 1 << k for k in range(20))]
     for _ in range(60):
         x = rng.getrandbits(64)
         fps += [x, x ^ 1 << rng.randrange(64), x ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64), x ^ 7 << rng.randrange(60)]
     fps = sorted(set(fps))
     signed = {simhash._signed(f): k for k, f in enumerate(fps)}
-    links = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"))
+    links = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), segments)
     assert all((a ^ b).bit_count() in (1, 2) for a, b in ((fps[signed[r.a]], fps[signed[r.b]]) for r in links.collect()))
     label = {signed[r.node]: r.component for r in connected_components(links).collect()}
     classes = brute_components(fps)
@@ -75,9 +77,9 @@ def test_components_of_chains_and_stars(spark, n):
 
 
 def test_all_members_of_an_entry_meet(spark):
-    members = [(7, n, c) for n, c in ((1, 1), (2, 2), (3, 3), (4, 3), (5, 5), (9, 9))] + [(8, 1, 1), (8, 6, 1)]
-    got = sorted(map(tuple, simhash._met(spark.createDataFrame(members, "key long, node long, component long")).select("a", "b").collect()))
-    assert got == [(a, b) for a in (1, 2, 3, 4, 5, 9) for b in (1, 2, 3, 4, 5, 9) if a < b and (a, b) != (3, 4)]
+    members = [(7, n, 9, 0, c) for n, c in ((1, 1), (2, 2), (3, 3), (4, 3), (5, 5), (9, 9))] + [(8, 1, 9, 0, 1), (8, 6, 9, 0, 1), (9, 1, 9, 0, 1), (9, 11, 9, 1, 2), (9, 12, 9, 2, 3)]
+    got = sorted(map(tuple, simhash._met(spark.createDataFrame(members, "key long, node long, n int, pos int, component long")).select("a", "b").collect()))
+    assert got == sorted([(a, b) for a in (1, 2, 3, 4, 5, 9) for b in (1, 2, 3, 4, 5, 9) if a < b and (a, b) != (3, 4)] + [(1, 11)])
 
 
 def test_all_pairs_at_0_8_and_no_others(spark):
