@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
@@ -301,13 +302,21 @@ def angular_spectrum(traj: Trajectory, radius: float, species_triples: Sequence[
         raise InputError("angles need a constant cell")
     if not fixed and not traj.right_angled:
         raise InputError("cells without right angles need fixed=True")
-    spark = traj.spark
     stop = max(traj.nsteps.values()) if istop is None else istop
     frames = traj.slice_steps(istart - 1, stop, stepsize)
     triples = default_triples(traj.species()) if species_triples is None else list(species_triples)
+    parts = [_angles(traj, frames, triples[at : at + TRIPLES], at, radius, stepsize / (stop + 1 - istart), nbins, fixed) for at in range(0, len(triples), TRIPLES)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Triples of one pass over the neighbours: three bits of a long each.
+TRIPLES = 20
+
+
+def _angles(traj: Trajectory, frames: DataFrame, triples: list, first: int, radius: float, per_frame: float, nbins: int, fixed: bool) -> DataFrame:
+    """The spectra of up to TRIPLES triples, the first of which is number ``first``."""
+    spark = traj.spark
     sizes = [_sizes(traj, t[0]) for t in triples]
-    if len(triples) > 20:
-        raise InputError("at most 20 triples at a time")
     bits = F.lit(0).cast("long")
     for k, triple in enumerate(triples):
         for j, spec in enumerate(triple):
@@ -324,8 +333,8 @@ def angular_spectrum(traj: Trajectory, radius: float, species_triples: Sequence[
     d, e = G.vector("dx", "dy", "dz"), G.vector("ex", "ey", "ez")
     bins = met.select(G.nearest(G.angle(d, e) / F.lit(180.0 / nbins)).cast("int").alias("bin"), (1 / (G.norm2(d) * G.norm2(e))).alias("w"), F.explode(labels).alias("label"))
     found = bins.groupBy("label", "bin").agg(F.sum("w").alias("s"))
-    names = ["_".join(spec_label(s, n) for s in triple) for n, triple in enumerate(triples)]
-    facts = inline(spark, [(k, name, stepsize / (stop + 1 - istart) / n1) for k, (name, n1) in enumerate(zip(names, sizes))], "label int, name string, per double")
+    names = ["_".join(spec_label(s, n) for s in triple) for n, triple in enumerate(triples, first)]
+    facts = inline(spark, [(k, name, per_frame / n1) for k, (name, n1) in enumerate(zip(names, sizes))], "label int, name string, per double")
     every = spark.range(len(triples) * nbins).select(F.floor(F.col("id") / nbins).cast("int").alias("label"), (F.col("id") % nbins + 1).cast("int").alias("bin"))
     rows = every.join(F.broadcast(facts), "label").join(found, ["label", "bin"], "left")
     return rows.select(F.col("name").alias("label"), "bin", (F.col("bin") * F.lit(180.0 / nbins)).alias("angle"), (F.coalesce("s", F.lit(0.0)) * F.col("per")).alias("value"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from driftframe.analyzer import DynamicsAnalyzer
 from driftframe.functions import geometry as G
 from driftframe.functions.constants import BOHR_IN_ANGSTROM
-from driftframe.model import Trajectory, small
+from driftframe.model import IncompatibleTrajectories, Trajectory, atoms_of_types, check_compatible, small
 from driftframe.operators import density, grid, kinetic, rdf, recenter, spectrum
 from driftframe.plans import oracle, plotdata, views
 from driftframe.scratch import shared_path
@@ -134,6 +135,12 @@ def angular_spectrum(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rdf.angular_spectrum(views.traj_emb(spark, d), RADIUS, [("O", "H", "H"), ("H", "Li", "O")], nbins=18), 4)
 
 
+def angular_default(spark: SparkSession, d: str) -> DataFrame:
+    """All triples of five species."""
+    traj = replace(views.traj_emb(spark, d), atoms=atoms_of_types(spark, list(oracle.FIVE) * 2))
+    return rounded(rdf.angular_spectrum(traj, RADIUS, nbins=18), 4)
+
+
 def density_grid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(density.gaussian_density(views.traj_emb(spark, d), "H", DENSITY))
 
@@ -195,10 +202,21 @@ def log_scaled_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def compat_check(spark: SparkSession, d: str) -> DataFrame:
-    """The ordered types, sizes and steps that trajectories must agree in."""
+    """The ordered types and steps of two halves, and whether the first fits the second, and fits it with another timestep, arrays or types."""
     t = views.halves(views.traj_ev(spark, d))
+    one, two = (replace(t, frames=t.frames.where(F.col("traj_id") == k), atoms=t.atoms.where(F.col("traj_id") == k)) for k in (0, 1))
+    others = {"fits": two, "fits_timestep": replace(two, timestep_fs=2 * two.timestep_fs), "fits_arrays": replace(two, frames=two.frames.withColumns({f"v{a}": F.lit(0.0) for a in G.AXES}))}
+    others["fits_types"] = replace(two, atoms=two.atoms.withColumn("type", F.when(F.col("atom_idx") == 4, "O").otherwise(F.col("type"))))
+
+    def fits(other: Trajectory) -> bool:
+        try:
+            check_compatible([one, other])
+        except IncompatibleTrajectories:
+            return False
+        return True
+
     types = t.atoms.groupBy("traj_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("atom_idx", "type"))), lambda s: s["type"]), ",").alias("types"))
-    return types.join(t.frames.groupBy("traj_id").agg(F.countDistinct("step").alias("n_steps")), "traj_id")
+    return types.join(t.frames.groupBy("traj_id").agg(F.countDistinct("step").alias("n_steps")), "traj_id").withColumns({n: F.lit(fits(o)) for n, o in others.items()})
 
 
 def msd_plot_bands(spark: SparkSession, d: str) -> DataFrame:
@@ -213,7 +231,7 @@ def msd_plot_fit_lines(spark: SparkSession, d: str) -> DataFrame:
 # -- sources and sinks: written to the shared folder, then read back ------------------------------
 
 
-def _dump(traj: Trajectory, path: str, scaled: bool) -> str:
+def _dump(traj: Trajectory, path: str, scaled: bool = False) -> str:
     """A dump file with ids from 1 in falling order, types 1 to 3 and forces."""
     number = F.when(F.col("type") == "H", 1).when(F.col("type") == "O", 2).otherwise(3)
     rows = traj.frames.join(small(traj.atoms.select("traj_id", "atom_idx", "type"), traj.nat), ["traj_id", "atom_idx"])
@@ -225,8 +243,15 @@ def _dump(traj: Trajectory, path: str, scaled: bool) -> str:
     return path
 
 
-def dump_roundtrip(spark: SparkSession, d: str, scaled: bool = False) -> DataFrame:
-    path = _dump(views.traj_emb(spark, d), shared_path(spark, "dump"), scaled)
+def dump_roundtrip(spark: SparkSession, d: str, scaled: bool = False, files: int = 1) -> DataFrame:
+    """Of several files, run.8.dump, run.9.dump, run.10.dump and so on, each has a part of the steps."""
+    traj, path = views.traj_emb(spark, d), shared_path(spark, "dump")
+    if files == 1:
+        _dump(traj, path, scaled)
+    else:
+        part = 1 + traj.nsteps[0] // files
+        for k in range(files):
+            _dump(replace(traj, frames=traj.frames.where(F.floor(F.col("step") / part) == k)), f"{path}/run.{8 + k}.dump", scaled)
     t = lammps.read_dump(spark, path, elements=["H", "O", "Li"], f_conv=2.0, skip=3, istep=2)
     rows = t.frames.join(t.steps, ["traj_id", "step"]).join(small(t.atoms, t.nat), ["traj_id", "atom_idx"])
     return rounded(rows.select("step", "raw_timestep", "atom_idx", "type", "x", "y", "z", "vx", "vy", "vz", "fx", "fy", "fz"))
@@ -240,6 +265,41 @@ def extxyz_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return rounded(t.with_cell(t.frames).join(small(t.atoms, t.nat), ["traj_id", "atom_idx"]).select("step", "atom_idx", "type", "x", "y", "z", "vx", "vy", "vz", "fx", "ax", F.col("by").alias("by_")), 5)
 
 
+def thermo_file(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as a thermo file in which every row stands twice; the first stays."""
+    path, key = shared_path(spark, "thermo"), F.col("o_orderkey").cast("long")
+    rows = views.table(spark, d, "orders").select(key.alias("row"), F.explode(F.array(F.lit(0), F.lit(1))).alias("nth"), F.col("o_custkey").cast("string").alias("c"))
+    body = rows.select("row", "nth", F.concat_ws("  ", F.col("row").cast("string"), F.concat(F.col("c"), F.lit(".5")), (F.col("nth") + 1).cast("string")).alias("value"))
+    heads = spark.createDataFrame([(-2, 0, "made by fix print"), (-1, 0, "# TimeStep PotEng Nth")], "row long, nth int, value string")
+    write_single(heads.union(body), path, ["row", "nth"])
+    return lammps.read_thermo(spark, path)
+
+
+def xsf_scientific(spark: SparkSession, d: str) -> DataFrame:
+    """Whole values of up to five digits, which 0.1234E+00 keeps."""
+    path = shared_path(spark, "xsf")
+    xsf.write_xsf(views.grid10(spark, d).withColumn("value", F.floor("value") % 90_000 + 1.0), GRID_SHAPE, views.UNIT, [("H", 0.0, 0.1, 0.2)], path)
+    return rounded(xsf.read_xsf(spark, path).grid)
+
+
+def vaf_plot_curves(spark: SparkSession, d: str, table: str) -> DataFrame:
+    a = _emb(spark, d)
+    return rounded(plotdata.vaf_plot(a.get_vaf(**VAF), a.params(**VAF))[table], 8)
+
+
+def spectrum_plot(spark: SparkSession, d: str) -> DataFrame:
+    t = recenter.velocities_from_positions(views.traj_ev(spark, d))
+    return rounded(plotdata.band(spectrum.spectrum_stats(spectrum.power_spectrum(t, block_length=50)), "freq_thz"), 4)
+
+
+def rdf_plot(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(plotdata.rdf_plot(rdf.rdf(views.traj_emb(spark, d), RADIUS, nbins=15)))
+
+
+def angular_plot(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(plotdata.angular_plot(angular_spectrum(spark, d)), 4)
+
+
 def xsf_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "xsf")
     xsf.write_xsf(views.grid10(spark, d), GRID_SHAPE, views.UNIT, [("H", 0.0, 0.1, 0.2)], path, fixed_point=True)
@@ -268,11 +328,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kinetic_system": partial(kinetic_table, f=kinetic.kinetic_of_system, stepsize=2), "kinetic_species": partial(kinetic_table, f=kinetic.kinetic_by_species, stepsize=1), "kinetic_atoms": partial(kinetic_table, f=kinetic.kinetic_by_atom, stepsize=1), "kinetic_means": partial(kinetic_table, f=kinetic.kinetic_means, stepsize=1),
         "psd_blocks": psd, "psd_smoothed": partial(psd, smothening=4), "psd_stats": partial(psd, stats=True), "psd_mixed_blocks": partial(psd, smothening=3, mix_blocks=True),
         "rdf_hist": rdf_hist, "rdf_norm": partial(rdf_table, variable_cell=False, columns=["rdf"]), "rdf_integral": partial(rdf_table, variable_cell=False, columns=["integral"]), "rdf_variable_cell": partial(rdf_table, variable_cell=True, columns=["rdf", "integral"]),
-        "rdf_pair_list": partial(rdf_table, variable_cell=False, columns=["rdf", "integral"], pairs=[([0, "Li"], "H"), (2, "O")]), "rdf_shortest": rdf_shortest, "rdf_nearest_bin": rdf_nearest_bin, "angular_spectrum": angular_spectrum,
+        "rdf_pair_list": partial(rdf_table, variable_cell=False, columns=["rdf", "integral"], pairs=[([0, "Li"], "H"), (2, "O")]), "rdf_shortest": rdf_shortest, "rdf_nearest_bin": rdf_nearest_bin, "angular_spectrum": angular_spectrum, "angular_default": angular_default,
         "density_grid": density_grid, "density_total": density_total, "grid_difference": grid_difference, "grid_tile": grid_tile, "grid_pad": grid_pad, "grid_summary": grid_summary, "grid_log": grid_log,
         "thermo_join": thermo_join, "thermo_first_row": thermo_first_row, "nearest_mass": nearest_mass, "fold_positions": fold_positions, "log_scaled_vectors": log_scaled_vectors, "compat_check": compat_check,
         "msd_plot_bands": msd_plot_bands, "msd_plot_fit_lines": msd_plot_fit_lines,
-        "dump_roundtrip": dump_roundtrip, "dump_scaled": partial(dump_roundtrip, scaled=True), "extxyz_roundtrip": extxyz_roundtrip, "xsf_roundtrip": xsf_roundtrip, "store_roundtrip": store_roundtrip,
+        "vaf_plot_curves": partial(vaf_plot_curves, table="vaf"), "vaf_plot_marks": partial(vaf_plot_curves, table="fit_marks"), "spectrum_plot": spectrum_plot, "rdf_plot": rdf_plot, "angular_plot": angular_plot,
+        "dump_roundtrip": dump_roundtrip, "dump_scaled": partial(dump_roundtrip, scaled=True), "dump_many_files": partial(dump_roundtrip, files=3), "thermo_file": thermo_file, "xsf_scientific": xsf_scientific, "extxyz_roundtrip": extxyz_roundtrip, "xsf_roundtrip": xsf_roundtrip, "store_roundtrip": store_roundtrip,
     }
 
 

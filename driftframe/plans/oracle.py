@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations_with_replacement
+
 from driftframe.functions.constants import BOHR_IN_ANGSTROM, ELEMENTS, KINETIC_FACTOR
 from driftframe.plans.views import ATOMS, CELLS, EMB, EV, GRID, HALVES
 
@@ -162,14 +164,19 @@ def mirrored(p: str, q: str) -> str:
 NEAREST = f"n as (select a.step, a.atom_idx as i, b.atom_idx as j, ta.type as ti, tb.type as tj, {mirrored('a', 'b')} from traj_emb a join traj_emb b on a.step = b.step and a.atom_idx <> b.atom_idx join atoms10 ta on ta.atom_idx = a.atom_idx join atoms10 tb on tb.atom_idx = b.atom_idx), n2 as (select *, sqrt(dx*dx+dy*dy+dz*dz) as d from n)"
 
 
-def angular(triples: list[tuple[str, str, str]]) -> str:
+#: The species of angular_default, twice each.
+FIVE = ("H", "O", "Li", "C", "N")
+ATOMS_FIVE = f"atoms10 as (select cast(range as int) as atom_idx, ({list(FIVE)})[range % 5 + 1] as type from range(10))"
+
+
+def angular(triples: list[tuple[str, str, str]], atoms: str = ATOMS, count: dict[str, int] = COUNT) -> str:
     cosine = "(a.dx*b.dx+a.dy*b.dy+a.dz*b.dz)/(a.d*b.d)"
     out = " union all ".join(
-        f"select '{x}_{y}_{z}' as label, g.bin, g.bin*10.0::double as angle, coalesce(s, 0.0)/((select max(step)+1 from traj_emb)*{COUNT[x]}) as value from (select cast(range as int) as bin from range(1, 19)) g left join "
+        f"select '{x}_{y}_{z}' as label, g.bin, g.bin*10.0::double as angle, coalesce(s, 0.0)/((select max(step)+1 from traj_emb)*{count[x]}) as value from (select cast(range as int) as bin from range(1, 19)) g left join "
         f"(select cast(round(degrees(acos(greatest(-1, least(1, {cosine}))))/10) as int) as bin, sum(1/(a.d*a.d*b.d*b.d)) as s from n2 a join n2 b on a.step = b.step and a.i = b.i and a.j <> b.j where a.ti = '{x}' and a.tj = '{y}' and b.tj = '{z}' and a.d <= {RADIUS} and b.d <= {RADIUS} group by 1) h on h.bin = g.bin"
         for x, y, z in triples
     )
-    return with_(EMB, ATOMS, NEAREST, f"o as ({out})") + f"select label, bin, angle, {r('value', 'value', 4)} from o"
+    return with_(EMB, atoms, NEAREST, f"o as ({out})") + f"select label, bin, angle, {r('value', 'value', 4)} from o"
 
 
 def density(kind: str) -> str:
@@ -233,6 +240,15 @@ def sql() -> dict[str, str]:
         "rdf_nearest_bin": with_(EMB, ATOMS, NEAREST, f"o as (select g.bin, g.bin*{RADIUS / 15!r}::double as radius, coalesce(h.n, 0)::double/((select max(step)+1 from traj_emb)*5) as c from (select cast(range as int) as bin from range(1, 16)) g left join (select cast(round(d/{RADIUS / 15!r}) as int) as bin, count(*) as n from n2 where ti = 'H' and tj = 'O' group by 1) h on h.bin = g.bin)")
         + f"select bin, {r('radius', 'radius')}, {r(f'c/3.0/(4*pi()/3*case when bin = 1 then 3.25*power({RADIUS / 15!r}, 3) else 3*radius*radius*{RADIUS / 15!r} + 0.75*power({RADIUS / 15!r}, 3) end)', 'rdf')}, {r('coalesce(sum(case when bin > 1 then c end) over (order by bin), 0)', 'integral')} from o",
         "angular_spectrum": angular([("O", "H", "H"), ("H", "Li", "O")]),
+        "angular_default": angular(list(combinations_with_replacement(sorted(FIVE), 3)), ATOMS_FIVE, dict.fromkeys(FIVE, 2)),
+        "angular_plot": f"select case label when 'O_H_H' then 'H-O-H' else 'Li-H-O' end as label, angle as x, value as y from ({angular([('O', 'H', 'H'), ('H', 'Li', 'O')])})",
+        "rdf_plot": f"select label, radius as x, rdf as y, integral from ({rdf_of(default_parts(), False, 'rdf integral')})",
+        "spectrum_plot": psd() + f", s as (select species, freq_thz, avg(psd) as m, stddev_pop(psd)/sqrt(count(*)-1) as e from psd group by species, freq_thz) select species, {r('freq_thz', 'x', 4)}, {r('m', 'y', 4)}, {r('m-e', 'low', 4)}, {r('m+e', 'high', 4)} from s",
+        "vaf_plot_curves": vaf() + f", s as (select species, t_fs, avg(vaf) as m, stddev_pop(vaf)/sqrt(count(*)-1) as e from vaf group by species, t_fs) select species, cast(t_fs as double) as x, {r('m', 'y', 8)}, {r('m-e', 'low', 8)}, {r('m+e', 'high', 8)} from s",
+        "vaf_plot_marks": f"select cast(0 as int) as fit_idx, cast(x*{DT} as double) as x from (values (2), (10)) v(x)",
+        "dump_many_files": _dump(1, 1, 1),
+        "thermo_file": 'select cast(o_orderkey as bigint) as "TimeStep", o_custkey + 0.5::double as "PotEng", 1.0::double as "Nth" from orders',
+        "xsf_scientific": with_(GRID) + f"select ix, iy, iz, {r('floor(value) % 90000 + 1', 'value')} from grid10",
         "density_grid": density("H") + f"select ix, iy, iz, {r('value', 'value')} from dens", "density_total": density("O") + SUMMARY + " from dens",
         "grid_difference": with_(GRID) + f"select ix, iy, iz, {r('value - case when value > 20 then value*0.5 else 0 end', 'value')} from grid10",
         "grid_tile": with_(GRID) + f"select cast(ix + 10*a.range as int) as ix, iy, cast(iz + 10*b.range as int) as iz, {r('value', 'value')} from grid10, range(2) a, range(3) b",
@@ -244,7 +260,7 @@ def sql() -> dict[str, str]:
         "nearest_mass": f"with e(z, symbol, m) as (values {', '.join(f'({z}, {s!r}, {m!r}::double)' for s, z, m in ELEMENTS)}), k as (select p_partkey, cast(p_partkey % 300 + 0.3 as double) as mass from part), o as (select p_partkey, mass, symbol, row_number() over (partition by p_partkey order by abs(mass - m), z) as rn from k, e) select p_partkey, {r('mass', 'mass')}, symbol from o where rn = 1",
         "fold_positions": with_(EV) + "select step, atom_idx, " + ", ".join(r(f"({e}/{a!r} - floor({e}/{a!r}))*{a!r}", c) for c, e, a in (("x", "(x-20)", 7.5), ("y", "y", 3.25), ("z", "(z-50)", 11.0))) + " from traj_ev",
         "log_scaled_vectors": with_(EMB, "n as (select *, sqrt(fx*fx+fy*fy+fz*fz) as d from traj_emb)") + f"select step, atom_idx, {', '.join(r(f'case when d < 1e-8 then {c} else ln(d+2)/d*{c} end', c) for c in ('fx', 'fy', 'fz'))} from n",
-        "compat_check": with_(EV, ATOMS, HALVES) + "select traj_id, (select string_agg(type, ',' order by atom_idx) from atoms10) as types, count(distinct step) as n_steps from traj_2 group by traj_id",
+        "compat_check": with_(EV, ATOMS, HALVES) + "select traj_id, (select string_agg(type, ',' order by atom_idx) from atoms10) as types, count(distinct step) as n_steps, true as fits, false as fits_timestep, false as fits_arrays, false as fits_types from traj_2 group by traj_id",
         "msd_plot_bands": msd() + f", s as (select species, t_fs, avg(msd) as m, stddev_pop(msd)/sqrt(count(*)-1) as e from msd group by all) select species, cast(t_fs as double) as x, {r('m', 'y', 4)}, {r('m-e', 'low', 4)}, {r('m+e', 'high', 4)} from s",
         "msd_plot_fit_lines": msd() + f", {fits([(5, 20)], 'species, traj_id, block')} select fit_idx, species, traj_id, block, cast(x as double) as x, {r('slope*x + intercept', 'y', 3)} from fits, (values (10.0), (40.0)) v(x)",
         "dump_roundtrip": _dump(1, 1, 1), "dump_scaled": _dump(2, 4, 2),

@@ -54,11 +54,11 @@ def halves(traj: Trajectory) -> Trajectory:
     return combined([first, second])
 
 
-def grid10(spark: SparkSession, sf_dir: str, offset: int = 0) -> DataFrame:
-    """The values of 1000 events as a 10 x 10 x 10 grid: the grid is that size at any scale."""
-    e = table(spark, sf_dir, "events").where((F.col("event_id") >= offset) & (F.col("event_id") < offset + 1000))
-    i = F.col("event_id") - offset
-    return e.select((i % 10).cast("int").alias("ix"), (F.floor(i / 10) % 10).cast("int").alias("iy"), (F.floor(i / 100) % 10).cast("int").alias("iz"), F.col("value").cast("double").alias("value"))
+def grid10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events on a grid of 10 x 10 x 10: each point sums every thousandth."""
+    i = F.col("event_id")
+    at = [(i % 10).cast("int").alias("ix"), (F.floor(i / 10) % 10).cast("int").alias("iy"), (F.floor(i / 100) % 10).cast("int").alias("iz")]
+    return table(spark, sf_dir, "events").groupBy(*at).agg(F.round(F.sum(F.col("value").cast("double")), 4).alias("value"))
 
 
 # -- the same views for the oracle -----------------------------------------------------------------
@@ -74,6 +74,6 @@ ATOMS = """atoms10 as (select cast(a as int) as atom_idx, case when a < 5 then '
   sizes as (select type, cast(count(*) as double) as n from atoms10 group by type)"""
 CELLS = """cells_emb as (select distinct traj_id, step, cast(1 + (step % 5)*0.01 as double) as ax, cast(1 + (step % 3)*0.01 as double) as by_, cast(1 as double) as cz from traj_emb)"""
 GRID = """grid10 as (select cast(event_id % 10 as int) as ix, cast(floor(event_id/10) % 10 as int) as iy, cast(floor(event_id/100) % 10 as int) as iz,
-  cast(value as double) as value from events where event_id < 1000)"""
+  round(sum(cast(value as double)), 4) as value from events group by all)"""
 HALVES = """h as (select cast(floor((max(step)+1)/2) as int) as h from traj_ev),
   traj_2 as (select cast(floor(step/h) as int) as traj_id, cast(step % h as int) as step, atom_idx, x, y, z from traj_ev, h where step < 2*h)"""

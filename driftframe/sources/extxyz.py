@@ -86,7 +86,7 @@ def read_cp_positions(spark: SparkSession, path: str, nat: int, bohr: bool = Tru
 
 def read_start_positions(spark: SparkSession, path: str) -> DataFrame:
     """(atom_idx, type, x, y, z in Angstrom) of the ATOMIC_POSITIONS card of an input file; lines that start with # are skipped."""
-    lines = numbered(spark, path)
+    lines = numbered(spark, path, single=True)
     marks = lines.where(F.lower("value").rlike(r"^\s*(nat\s*=|atomic_positions)")).collect()
     nat = next(int(re.search(r"=\s*(\d+)", r.value)[1]) for r in marks if "=" in r.value)
     card = next(r for r in marks if "=" not in r.value)
@@ -100,7 +100,7 @@ def read_start_positions(spark: SparkSession, path: str) -> DataFrame:
 def read_forces(spark: SparkSession, path: str, symbols: list[str]) -> DataFrame:
     """(nth, symbol, values): the lines "SYM v1 v2 ..." of these symbols, numbered from 0 in file order."""
     pattern = r"^[ \t]*([A-Za-z]+[A-Za-z0-9]*)((?:\s+[-+]?(?:\d*\.\d+|\d+\.?\d*)(?:[eE][-+]?\d+)?)+)\s*$"
-    lines = numbered(spark, path).where(F.col("value").rlike(pattern) & F.regexp_extract("value", pattern, 1).isin(symbols))
+    lines = numbered(spark, path, single=True).where(F.col("value").rlike(pattern) & F.regexp_extract("value", pattern, 1).isin(symbols))
     counted = running_total(lines, F.lit(1), "nth")
     return counted.select("nth", F.regexp_extract("value", pattern, 1).alias("symbol"), F.transform(words(F.regexp_extract("value", pattern, 2)), number).alias("values"))
 

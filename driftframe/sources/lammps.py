@@ -82,19 +82,19 @@ def _cell_columns(lines: Column, correct_tilt: bool) -> list[Column]:
 
 
 def read_frames(spark: SparkSession, path: str, skip: int = 0, istep: int = 1, correct_tilt: bool = False) -> tuple[Header, DataFrame]:
-    """The header of the first frame, and (step, raw_timestep, ax..cz, rows) per frame used.
+    """The header of the first frame, and (step, raw_timestep, ax..cz, rows) per frame used, of one dump file or of several in order.
 
     Frames are those with number >= skip that ``istep`` divides, numbered anew from 0. From the first
     frame on whose number of atoms differs, frames are left out.
     """
-    records = numbered(spark, path, _SEPARATOR).where(F.length("value") > 0)
-    first = records.orderBy("line").select("line", "value").first()
+    records = numbered(spark, path, _SEPARATOR)
+    first = records.where("line = 0").select("value").first()
     if first is None:
         raise DumpError(f"{path}: no frame")
     header = read_header(first.value)
     lines = F.split("value", "\n", -1)
     nat = F.regexp_extract(F.get(lines, F.lit(2)), r"\d+", 0)
-    frames = records.select((F.col("line") - first.line).alias("frame"), lines.alias("lines"), nat.cast("int").alias("nat"))
+    frames = records.select(F.col("line").alias("frame"), lines.alias("lines"), nat.cast("int").alias("nat"))
     bad = frames.where(~F.col("nat").eqNullSafe(F.lit(header.nat)) | (F.size("lines") < 8 + header.nat)).agg(F.min("frame")).first()[0]
     good = frames if bad is None else frames.where(F.col("frame") < bad)
     used = good.where((F.col("frame") >= skip) & (F.col("frame") % istep == 0))
@@ -143,7 +143,7 @@ def read_dump(
     thermo_stress: Sequence[str] | None = None, thermo_keywords: Sequence[str] = (), ignore_forces: bool = False, ignore_velocities: bool = False,
     skip: int = 0, f_conv: float = 1.0, e_conv: float = 1.0, s_conv: float = 1.0, additional_columns: Sequence[str] = (), istep: int = 1, correct_tilt: bool = False,
 ) -> Trajectory:
-    """A dump file as a Trajectory with cells, and, from a thermo file, energies, stress and other columns per step.
+    """A dump file, or a folder of them, as a Trajectory with cells, and, from a thermo file, energies, stress and other columns per step.
 
     Scaled positions are multiplied by the cell; nothing is unwrapped or moved by the box's origin;
     velocities have no factor. ``timestep`` is that between the frames used, in fs.
@@ -181,7 +181,7 @@ def read_dump(
 
 def read_thermo(spark: SparkSession, path: str) -> DataFrame:
     """A thermo table: line 1 is skipped, line 2 starts with # and names the columns; of a repeated first column the first row stays."""
-    rows = numbered(spark, path)
+    rows = numbered(spark, path, single=True)
     head = rows.where("line = 1").first()
     if head is None or not head.value.lstrip().startswith("#"):
         raise DumpError(f"{path}: the second line names no columns")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,21 +22,33 @@ def number(text: Column) -> Column:
     return F.translate(text, "dD", "eE").try_cast("double")
 
 
-def numbered(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """(line, value) of one text file: lines (or records between ``separator``) numbered from 0 in file order.
+def _in_order(path: str) -> list:
+    """Sort key of file names: runs of digits count as numbers."""
+    return [(1, int(x), "") if x.isdigit() else (0, 0, x) for x in re.split(r"(\d+)", path) if x]
 
-    Each task numbers the lines of its split; only the splits' line counts, a row for each split of the
-    file, reach the driver to become offsets. No sort and no single task.
+
+def numbered(spark: SparkSession, path: str, separator: str | None = None, single: bool = False) -> DataFrame:
+    """(line, value, split) of a text file, or of several (a folder or pattern) one after the other, lines numbered from 0.
+
+    Files are in the order of their names, numbers in them by value. With a ``separator`` the records between
+    it are numbered, without empty ones. ``single`` refuses more than one file. Each task numbers the lines of
+    its splits; only the splits' line counts, a row for each, reach the driver to become offsets. No sort and
+    no single task.
     """
     reader = spark.read if separator is None else spark.read.option("lineSep", separator)
-    rows = reader.text(path).select("value", F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
-    rows = rows.withColumn("__nth", F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id")
+    rows = reader.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"))
+    if separator is not None:
+        rows = rows.where(F.length("value") > 0)
+    rows = rows.withColumn("__nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     offsets, total = [], 0
-    for r in sorted(rows.groupBy("__at").agg(F.count("*").alias("n"), F.min("__nth").alias("low")).collect(), key=lambda r: r["__at"]):
-        offsets.append((r["__at"], total - r.low))
+    found = rows.groupBy("__file", "__at").agg(F.count("*").alias("n"), F.min("__nth").alias("low")).collect()
+    for split, r in enumerate(sorted(found, key=lambda r: (_in_order(r["__file"]), r["__at"]))):
+        offsets.append((r["__file"], r["__at"], total - r.low, split))
         total += r.n
-    table = spark.createDataFrame(offsets, "__at long, __from long")
-    return rows.join(F.broadcast(table), "__at").select((F.col("__nth") + F.col("__from")).alias("line"), "value", F.col("__at").alias("split"))
+    if single and len({r["__file"] for r in found}) > 1:
+        raise ValueError(f"{path}: more than one file")
+    table = spark.createDataFrame(offsets, "__file string, __at long, __from long, split long")
+    return rows.join(F.broadcast(table), ["__file", "__at"]).select((F.col("__nth") + F.col("__from")).alias("line"), "value", "split")
 
 
 def running_total(rows: DataFrame, amount: Column, name: str) -> DataFrame:

@@ -50,7 +50,7 @@ def read_xsf(spark: SparkSession, path: str, fold_positions: bool = False) -> Xs
     The file's dimensions are n + 1; values run along x first, and those of the last plane of each axis
     are dropped. A file without a grid raises.
     """
-    lines = numbered(spark, path)
+    lines = numbered(spark, path, single=True)
     marks = [(r.line, r.value.split()[0].upper()) for r in lines.where(F.col("value").rlike(_HEAD)).orderBy("line").collect()]
     at = {word.split("_3D")[0]: line for line, word in reversed(marks)}
     start = at.get("DATAGRID", at.get("BEGIN_DATAGRID"))

@@ -9,7 +9,7 @@ import __spark_entry__
 from driftframe.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
