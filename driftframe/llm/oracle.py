@@ -22,6 +22,19 @@ def _node(url: str) -> str:
     return f"nullif({start} || {rest}, '')"
 
 
+def _resolved(base: str, target: str) -> str:
+    """The full URL of a target in a page at ``base``; null if it names no host."""
+    part = lambda k: f"regexp_extract({base}, '(?s)^([a-zA-Z][a-zA-Z0-9+.-]*:)(//[^/?#]*)([^?#]*)(\\?[^#]*)?', {k})"
+    path, rest = f"regexp_extract({target}, '(?s)^([^?#]*)', 1)", f"regexp_extract({target}, '(?s)^[^?#]*(.*)$', 1)"
+    folder = f"case when {part(3)} = '' then '/' else regexp_replace({part(3)}, '[^/]*$', '') end"
+    names = f"string_split(case when starts_with({path}, '/') then {path} else {folder} || {path} end, '/')"
+    walked = f"list_reduce(list_transform({names}, lambda n: [n]), lambda acc, n: case when n[1] = '.' then acc when n[1] = '..' then acc[1:greatest(len(acc) - 1, 1)] else acc || n end)"
+    return f"""case when regexp_matches({target}, '^[a-zA-Z][a-zA-Z0-9+.-]*://') then {target} when regexp_matches({target}, '^[a-zA-Z][a-zA-Z0-9+.-]*:') or {part(1)} = '' then null
+  when starts_with({target}, '//') then {part(1)} || {target}
+  when {path} = '' then {part(1)} || {part(2)} || {part(3)} || case when starts_with({rest}, '?') then '' else {part(4)} end || {rest}
+  else {part(1)} || {part(2)} || array_to_string({walked}, '/') || case when {names}[-1] in ('.', '..') then '/' else '' end || {rest} end"""
+
+
 def _rule(rules: list, host: str, path: str, what: str) -> str:
     """The longest rule that fits, its text or its verdict."""
     out = "case "
@@ -34,9 +47,11 @@ def _rule(rules: list, host: str, path: str, what: str) -> str:
 def redirects(rules: list) -> str:
     link = r"""regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)"""
     meta = r"""regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)"""
-    return f"""with recursive p as (select page_id, {_host('url')} as host, {_path('url')} as path, {_node('url')} as node, {link} as link, {meta} as meta from pages),
-t as (select node as a, replace(link, '&amp;', '&') as url from p union all select node, replace(meta, '&amp;', '&') from p),
-e as (select distinct a, {_node('url')} as b from t where url <> '' and a is not null),
+    base = r"""nullif(regexp_extract(html, '(?is)<base\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1), '')"""
+    return f"""with recursive p as (select page_id, url, {_host('url')} as host, {_path('url')} as path, {_node('url')} as node, {link} as link, {meta} as meta, trim(replace({base}, '&amp;', '&')) as base from pages),
+s as (select node as a, coalesce({_resolved('url', 'base')}, url) as base, trim(replace(unnest([link, meta]), '&amp;', '&')) as target from p),
+t as (select a, {_resolved('base', 'target')} as url from s where target <> ''),
+e as (select distinct a, {_node('url')} as b from t where a is not null),
 u as (select a, b from e where a <> b and b is not null union select b, a from e where a <> b and b is not null),
 reach as (select a as n, a as m from u union select reach.n, u.b from reach join u on u.a = reach.m),
 known as (select n, {_rule(rules, _host('m'), _path('m'), 'verdict')} as v from reach),

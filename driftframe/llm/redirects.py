@@ -62,6 +62,29 @@ def node(url: F.Column) -> F.Column:
     return F.nullif(F.concat(start, rest), F.lit(""))
 
 
+def resolved(base: F.Column, target: F.Column) -> F.Column:
+    """The full URL that ``target`` means in a page at ``base``; null if it is of a kind without host, such as mailto:."""
+    parts = lambda k: F.regexp_extract(base, r"(?s)^([a-zA-Z][a-zA-Z0-9+.-]*:)(//[^/?#]*)([^?#]*)(\?[^#]*)?", k)
+    full, kind = target.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), target.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")
+    path, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(parts(3) == "", F.lit("/")).otherwise(F.regexp_replace(parts(3), "[^/]*$", ""))
+    names = F.split(F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(folder, path)), "/", -1)
+
+    def step(acc, name):
+        up = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))
+        return F.when(name == ".", acc).when(name == "..", up).otherwise(F.concat(acc, F.array(name)))
+
+    walked = F.aggregate(F.slice(names, F.lit(2), F.size(names)), F.array(F.lit("")), step)
+    end = F.when(F.element_at(names, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    return (
+        F.when(full, target).when(kind | (parts(1) == ""), F.lit(None))
+        .when(F.startswith(target, F.lit("//")), F.concat(parts(1), target))
+        .when(path == "", F.concat(parts(1), parts(2), parts(3), F.when(F.startswith(rest, F.lit("?")), F.lit("")).otherwise(parts(4)), rest))
+        .otherwise(F.concat(parts(1), parts(2), F.array_join(walked, "/"), end, rest))
+    )
+
+
+_BASE = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
 _LINK = r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?canonical\b[^>]*>"""
 _META = r"""(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 _HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
@@ -69,12 +92,18 @@ _TO = r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)"""
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(a, b): nodes of a page's url and of its canonical link or refresh target, where html declares one with a full URL."""
+    """(a, b): nodes of a page's url and of its canonical link or refresh target, where html declares one.
+
+    Targets may be relative to the page's url or to its <base href>; those that name no host add nothing.
+    """
     low = F.lower("html")
     canonical = F.when(low.contains("canonical"), F.regexp_extract(F.regexp_extract("html", _LINK, 0), _HREF, 1))
     refresh = F.when(low.contains("refresh"), F.regexp_extract(F.regexp_extract("html", _META, 0), _TO, 1))
-    links = pages.select("url", F.explode(F.array(canonical, refresh)).alias("to")).where("url is not null and to is not null and to <> ''")
-    return links.select(node(F.col("url")).alias("a"), node(F.replace("to", F.lit("&amp;"), F.lit("&"))).alias("b")).where("a <> b")
+    base = F.when(low.contains("<base"), F.nullif(F.regexp_extract("html", _BASE, 1), F.lit("")))
+    links = pages.select("url", base.alias("base"), F.explode(F.array(canonical, refresh)).alias("to")).where("url is not null and to is not null and to <> ''")
+    plain = lambda c: F.trim(F.replace(c, F.lit("&amp;"), F.lit("&")))
+    links = links.withColumn("base", F.coalesce(resolved(F.col("url"), plain("base")), F.col("url")))
+    return links.select(node(F.col("url")).alias("a"), node(resolved(F.col("base"), plain("to"))).alias("b")).where("a <> b")
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], links: DataFrame | None = None) -> DataFrame:

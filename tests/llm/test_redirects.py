@@ -45,11 +45,13 @@ def pages_with_aliases():
         (1, "https://a.net/1", link("https://x.com/de/9")), (2, "https://a.net/2#part", go("https://a.net/1")), (3, "https://c.net/", link("https://a.net/2")),  # all blocked through page 1's target
         (4, "https://b.net/1", link("https://x.com/de/8?a=1&amp;b=2")), (5, "https://y.com/fr/1", link("https://b.net/1")),  # an allowed alias clears them
         (6, "https://z.net/", None), (7, "https://C.net:443", None), (8, "https://x.com/de/9", None), (9, "https://x.com/de/8?a=1&b=2", None), (10, None, link("https://x.com/de/9")), (11, "https://d.net/", link("/relative")),
+        (12, "https://r.net/a/b?q", link("../de?x=1")), (13, "https://r.net/de?x=1", link("//x.com/de/7")), (14, "https://r.net/p/q/r", link("./../../p/./s/..")), (15, "https://r.net/p/", go("?z=2")), (16, "https://r.net/p/?z=2", go("//x.com/de/6")),
+        (17, "https://e.net/u", '<base href="https://x.com/de/"><link rel=canonical href=v>'), (18, "https://f.net/u", link("mailto:a@x.com")), (19, "https://g.net", link("#top")), (20, "https://h.net/u", "<base href=/w/>" + link("v")), (21, "https://h.net/w/v", link("https://x.com/de/5")), (22, "https://i.net/u/", link("..")), (23, "https://i.net/", link("https://x.com/de/5")),
     ]
 
 
 def test_aliases(spark):
-    want = {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "block", 9: "block", 10: "allow", 11: "allow"}
+    want = {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "block", 9: "block", 10: "allow", 11: "allow"} | dict.fromkeys((12, 13, 14, 15, 16, 17, 20, 21, 22, 23), "block") | {18: "allow", 19: "allow"}
     pages = spark.createDataFrame(pages_with_aliases(), "page_id long, url string, html string")
     assert {r.page_id: r.verdict for r in redirects.filter_urls(pages, RULES).collect()} == want
     more = spark.createDataFrame([("https://z.net/#x", "https://c.net"), (None, "https://c.net")], "a string, b string")
@@ -65,6 +67,13 @@ def test_sql_knows_aliases(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_long_and_repeated_rows(spark):
+    blank = " " * 300_000
+    rows = [(1, "https://a.net/" + "x/../" * 2_000, f'{blank}<link rel="canonical" href="//x.com/de/1">{blank}'), (2, "https://b.net/" + "y" * 200_000, "<link " + "rel= " * 50_000), (3, "https://c.net/1", '<link rel="canonical" href="//x.com/de/1">')]
+    found = redirects.filter_urls(spark.createDataFrame(rows + rows, "page_id long, url string, html string"), RULES).collect()
+    assert sorted((r.page_id, r.verdict) for r in found) == [(1, "block")] * 2 + [(2, "allow")] * 2 + [(3, "block")] * 2
+
+
 @pytest.mark.parametrize("n", [30])
 def test_a_hub_with_many_aliases(spark, n):
     rows = [(i, f"https://m{i}.net/", '<link rel="canonical" href="https://hub.net/">') for i in range(n)] + [(n, "https://hub.net/", '<link rel=canonical href=https://x.com/de/1>')]
