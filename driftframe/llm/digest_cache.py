@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftframe.llm import tokens
-from driftframe.llm.common import small_batches
+from driftframe.llm.common import cut, small_batches
 
-CACHE_SCHEMA = "digest binary, version string, n_tokens long"
+CACHE_SCHEMA = "digest binary, n_tokens long, version string"
+#: Digests that are broadcast at most, to leave out texts before they are moved.
+BROADCAST_ROWS = 100_000
 
 
 def cached(spark: SparkSession, cache_path: str) -> DataFrame:
-    """The cache table; an absent one is empty."""
+    """The cache table, a folder per version; an absent one is empty."""
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(cache_path)
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
@@ -27,18 +29,30 @@ def cached(spark: SparkSession, cache_path: str) -> DataFrame:
 
 
 def fill_cache(texts: DataFrame, cache_path: str, tokenizer_path: str, kind: str) -> None:
-    """Encodes the distinct texts (column ``text``) that the cache lacks and appends their counts."""
+    """Encodes the distinct texts (column ``text``) that the cache lacks and appends their counts.
+
+    With a cache that knows some, digests alone are compared first; only texts of misses are moved then,
+    if there are BROADCAST_ROWS of them at most, and none if there are no misses.
+    """
     spark, version = texts.sparkSession, tokens.version(tokenizer_path)
     small_batches(spark)
     known = cached(spark, cache_path).where(F.col("version") == version).select("digest")
-    distinct = texts.select(_digest("text"), F.coalesce("text", F.lit("")).alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
-    misses = distinct.join(known, "digest", "left_anti") if known.take(1) else distinct
+    keyed, warm = texts.select(_digest("text"), F.coalesce("text", F.lit("")).alias("text")), bool(known.take(1))
+    if warm:
+        missing = cut(keyed.select("digest").distinct().join(known, "digest", "left_anti"), "missing-digests")
+        n = missing.count()
+        if not n:
+            return
+        keyed = keyed.join(F.broadcast(missing), "digest", "left_semi") if n <= BROADCAST_ROWS else keyed
+    distinct = keyed.groupBy("digest").agg(F.first("text").alias("text"))
+    misses = distinct.join(missing, "digest", "left_semi") if warm and n > BROADCAST_ROWS else distinct
 
     @F.arrow_udf("long")
     def count(batch: pa.Array) -> pa.Array:
         return pa.array([len(ids) // 4 for ids in tokens.encoder(tokenizer_path, kind).encode(batch.to_pylist())], pa.int64())
 
-    misses.select("digest", F.lit(version).alias("version"), count("text").alias("n_tokens")).write.mode("append").parquet(cache_path)
+    counted = misses.select("digest", count("text").alias("n_tokens"), F.lit(version).alias("version"))
+    counted.write.mode("append").partitionBy("version").parquet(cache_path)
 
 
 def count_tokens(df: DataFrame, cache_path: str, tokenizer_path: str, kind: str = "byte") -> DataFrame:

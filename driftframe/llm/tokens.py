@@ -3,12 +3,14 @@
 A byte-level BPE encodes each pre-token on its own, so ids of a text are the joined ids of its
 pre-tokens. For plain texts (no control characters, nothing beyond U+00FF, no special string) the
 pre-tokens are found with the classes written out below and only those not met before go to the
-``tokenizers`` library; any other text goes to the library whole. Both ways give the library's ids.
+``tokenizers`` library; any other text goes to the library whole, and so do all texts if the file's own
+normaliser and pre-tokeniser aren't those below. Both ways give the library's ids.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
@@ -26,6 +28,14 @@ _KINDS = {
     "byte": (re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"), False),
     "word": (re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"), True),
 }
+# What the files of each kind say of normaliser and pre-tokeniser.
+_FILES = {
+    "byte": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    "word": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    ),
+}
 #: Pre-tokens remembered at most by a worker; beyond it the memory starts anew.
 MEMO = 1_000_000
 _open: dict[tuple[str, str], "Encoder"] = {}
@@ -36,6 +46,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        with open(path, "rb") as f:
+            said = json.load(f)
+        #: Whether plain texts may be cut into pre-tokens here.
+        self.known = (said.get("normalizer"), said.get("pre_tokenizer")) == _FILES[kind] and all(t["content"].startswith("<|") for t in said.get("added_tokens", ()))
         self.library.no_truncation()
         self.library.no_padding()
         self.pattern, self.lower = _KINDS[kind]
@@ -63,7 +77,7 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text, without added special tokens."""
         out: list[bytes] = []
         for text in texts:
-            if _SPECIAL.search(text):
+            if not self.known or _SPECIAL.search(text):
                 out.append(_packed(self.library.encode(text, add_special_tokens=False).ids))
                 continue
             words = self.pattern.findall(text.lower() if self.lower else text)

@@ -1,4 +1,5 @@
 import collections
+import json
 import struct
 import zlib
 
@@ -38,6 +39,44 @@ def test_counts_and_cache(spark, odd):
     assert digest_cache.count_tokens(odd.limit(0), path, file).count() == 0
 
 
+def test_a_warm_cache_encodes_misses_only(spark, odd, monkeypatch):
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    for bound in (100_000, 0):  # misses are broadcast or met by shuffling
+        monkeypatch.setattr(digest_cache, "BROADCAST_ROWS", bound)
+        path = scratch_path(spark, "cache-test")
+        digest_cache.count_tokens(odd.where("doc_id < 8"), path, file)
+        before = digest_cache.cached(spark, path).count()
+        digest_cache.count_tokens(odd, path, file)  # appends what it encodes
+        assert digest_cache.cached(spark, path).count() == len({t or "" for t in ODD + ["copy"]}) > before
+        files = spark.read.parquet(path).inputFiles()
+        digest_cache.count_tokens(odd.union(odd), path, file)
+        assert sorted(spark.read.parquet(path).inputFiles()) == sorted(files) and all("version=" in f for f in files)
+
+
+def test_another_tokenizer_goes_to_the_library(tmp_path):
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        said = json.load(f)
+    said["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(said))
+    library = Tokenizer.from_file(str(tmp_path / "other.json"))
+    got = tokens.Encoder(str(tmp_path / "other.json"), "byte").encode([t or "" for t in ODD])
+    assert [len(g) // 4 for g in got] == [len(library.encode(t or "", add_special_tokens=False).ids) for t in ODD]
+
+
+def test_very_long_and_repeated_rows(spark):
+    long = "several words of 1 text, " * 80_000
+    rows = [(1, long), (2, "short"), (2, "short"), (3, None), (3, None), (None, "short")]
+    docs = spark.createDataFrame([(*r, 7, "c", 9) for r in rows], "doc_id long, text string, piece int, sequence_id string, length int")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    counted = digest_cache.count_tokens(docs, scratch_path(spark, "cache-test"), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in counted) == sorted((str(d), len(library.encode(t or "").ids)) for d, t in rows)
+    packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    check_packing([r for r in packed if r.doc_id == 1], rows[:1], 4096, 1)
+    assert sorted(str(r.doc_id) for r in packed if r.doc_id != 1) == ["2", "2", "3", "3", "None"] and packed[0].__fields__ == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    places = sorted((r.sequence_id, r.offset, r.length) for r in packed)
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(places, places[1:]))
+
+
 def test_op5(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {(r.doc_id, len((r.text or "").encode()), n := len(library.encode(r.text or "").ids), n > 1024) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
