@@ -24,6 +24,8 @@ from driftframe.llm.common import cut, scratch_path, small_batches
 CHUNK = 1 << 16
 #: Bytes of chunks in one Arrow batch.
 _FLUSH = 4 << 20
+#: First records of repeated payloads that are broadcast at most.
+BROADCAST_ROWS = 100_000
 DATE = "1970-01-01T00:00:00Z"
 MANIFEST = "path string, records long, bytes long"
 CHUNKS = "page_id long, record_type string, refers_to long, chunk_no long, chunk binary, size_so_far long, sha1_so_far string, is_last boolean, payload_bytes long, payload_digest string"
@@ -50,6 +52,24 @@ def _record(page_id, url, digest: str, size: int, first, is_response: bool) -> t
     return ("\r\n".join(lines) + "\r\n\r\n").encode("utf-8", "surrogatepass"), http
 
 
+def _store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a full URI; Hadoop's names for object stores are those of the same store here."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":  # with one slash or three
+        rest = "///" + rest.lstrip("/")
+    scheme = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfs"}.get(scheme, scheme)
+    try:
+        return pafs.FileSystem.from_uri(f"{scheme}:{rest}")
+    except pa.ArrowInvalid as e:
+        raise WarcError(f"archives can't be kept in {uri}: {e}") from None
+
+
+def qualified(spark, path: str) -> str:
+    """``path`` with the scheme and authority it has for Spark: of one without a scheme, those of the default file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def _id(page_id) -> str:
     return "" if page_id is None else str(page_id)
 
@@ -65,12 +85,16 @@ def write(pages: DataFrame, uri: str, level: int = 1) -> DataFrame:
     small_batches(spark)
     base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     keyed = base.withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
-    firsts = keyed.groupBy("sha1", "size").agg(F.min("page_id").alias("first"))
-    told = keyed.join(firsts, ["sha1", "size"]).withColumn("is_response", F.col("page_id").eqNullSafe(F.col("first")))
+    # most payloads are the only ones with their digest: only the others' firsts are joined, and payloads aren't moved if these are few
+    several = keyed.groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    several = cut(several.withColumn("known", F.lit(True)), "warc-firsts")
+    told = keyed.join(F.broadcast(several) if several.count() <= BROADCAST_ROWS else several, ["sha1", "size"], "left")
+    told = told.withColumn("first", F.when(F.col("known"), F.col("first")).otherwise(F.col("page_id")))
+    told = told.withColumn("is_response", F.col("page_id").eqNullSafe(F.col("first")))
     told = told.select("page_id", "url", "sha1", "size", "first", "is_response", F.when(F.col("is_response"), F.col("payload")).alias("payload"))
 
     def archive(batches):
-        store, folder = pafs.FileSystem.from_uri(uri)
+        store, folder = _store(uri)
         store.create_dir(folder, recursive=True)
         task = TaskContext.get()
         name = f"{task.partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
@@ -223,7 +247,7 @@ def read(manifest: DataFrame, chunk: int = CHUNK) -> DataFrame:
     def scan(batches):
         for paths in batches:
             for path in paths.column(0).to_pylist():
-                store, at = pafs.FileSystem.from_uri(path)
+                store, at = _store(path)
                 with store.open_input_stream(at, compression=None) as source:
                     rows, held = [], 0
                     for row in records(source, chunk):
@@ -241,5 +265,4 @@ def read(manifest: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def archive_and_read(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Writes ``pages`` to archives in the shared folder and reads them back as chunk rows."""
-    uri = scratch_path(pages.sparkSession, "warc")
-    return read(write(pages, uri if "://" in uri else "file://" + uri.removeprefix("file:")), chunk)
+    return read(write(pages, qualified(pages.sparkSession, scratch_path(pages.sparkSession, "warc"))), chunk)

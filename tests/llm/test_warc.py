@@ -3,6 +3,8 @@ import gzip
 import hashlib
 import io
 import random
+import tracemalloc
+import zlib
 
 import pytest
 
@@ -74,3 +76,37 @@ def test_reader_takes_other_records_and_plain_files():
     for bad in (page[:-12], gzip.compress(page)[:-20], b"junk\r\n"):
         with pytest.raises((warc.WarcError, KeyError)):
             list(warc.records(io.BytesIO(bad)))
+
+
+def test_an_oversized_record_is_streamed():
+    """A payload of 150 MB, read from a gzip member with a few MB of memory."""
+    size, part = 150 << 20, bytes(range(256)) * 4096
+    archive, pack = io.BytesIO(), zlib.compressobj(1, zlib.DEFLATED, 31)
+    head = b"".join(warc._record(5, "http://a.org/", "X" * 32, size, None, True))
+    archive.write(pack.compress(head))
+    sha1 = hashlib.sha1()
+    for _ in range(size // len(part)):
+        archive.write(pack.compress(part))
+        sha1.update(part)
+    archive.write(pack.compress(b"\r\n\r\n") + pack.flush())
+    archive.seek(0)
+    tracemalloc.start()
+    last, n = None, 0
+    for last in warc.records(archive):
+        n += 1
+        assert len(last[4]) <= warc.CHUNK
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == size // warc.CHUNK and last[5] == last[8] == size and last[9] == base64.b32encode(sha1.digest()).decode() and peak < 8 << 20
+
+
+def test_places_of_archives(spark, tmp_path):
+    assert warc.qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    assert warc._store(f"file:{tmp_path}")[1] == warc._store(f"file://{tmp_path}")[1] == str(tmp_path)
+    with pytest.raises(warc.WarcError):
+        warc._store("odd://x/y")
+
+
+def test_joined_by_shuffling(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", -1)
+    test_odd_tables(spark)
