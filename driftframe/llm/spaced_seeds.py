@@ -16,16 +16,17 @@ from pyspark.sql import functions as F
 
 from driftframe.llm.common import cut
 
-#: Three masks of span 12 and weight 7: of windows of 20 tokens with a tenth (a fifth) substituted at random, 99 % (89 %) have a hit.
-MASKS = ("100110110101", "110101110001", "110001001111")
+#: Six masks of span 12 and weight 6. Any two of the 12 positions are ignored together by one of them, so 12 tokens
+#: of which two are substituted always have a hit, and so have 99.96 % of the ways to substitute a fifth of 20.
+MASKS = ("000011001111", "010001011011", "110010110100", "101100100011", "101101101000", "011110010100")
 WINDOW = 20
 AGREE = 0.8
-#: Items of fewer tokens are no evidence of contamination and never match.
+#: Items of fewer tokens are no evidence of contamination and never match; those shorter than the masks match whole only.
 LEAST = 5
 #: 64-bit words of the bitmap of item hashes.
 WORDS = 1 << 15
 #: Seeds of items that are broadcast at most; more are joined by shuffling.
-BROADCAST_SEEDS = 100_000
+BROADCAST_SEEDS = 200_000
 
 
 def tokens(text: str) -> F.Column:

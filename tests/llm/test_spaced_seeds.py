@@ -92,6 +92,34 @@ def test_substitutions(spark, planted):
     assert kept.count() == sum(not r.contaminated for r in clean)
 
 
+def test_recall_against_all_alignments(spark):
+    """Without seeds: every alignment of item and text. Windows with exactly a fifth substituted, at each length the masks serve."""
+    rng, docs, items = random.Random(8), [], []
+    for k in range(330):
+        n = 12 + k // 30 if k < 270 else 20 + k % 40
+        item = words(n)
+        size = min(20, n)
+        at = rng.randrange(n - size + 1)
+        changed = item[at : at + size]
+        for j in rng.sample(range(size), size // 5):
+            changed[j] = f"z{rng.random()}".replace(".", "")
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join([*words(20), *changed, *words(20)])))
+    pairs = list(__import__("itertools").combinations(range(12), 2))
+    for i, j in pairs:  # any two of twelve
+        item = words(12)
+        items.append((1000 + 12 * i + j, " ".join(item)))
+        docs.append((1000 + 12 * i + j, " ".join([*words(5), *(f"y{i}x{j}x{k}" if k in (i, j) else w for k, w in enumerate(item)), *words(5)])))
+    got = {r.doc_id for r in spaced_seeds.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect() if r.doc_id == r.item_id}
+    want = set()
+    for (d, text), (_, item) in zip(docs, items):
+        t, it = text.split(), item.split()
+        size = min(20, len(it))
+        if any(5 * sum(a == b for a, b in zip(t[p : p + size], it[q : q + size])) >= 4 * size for p in range(len(t) - size + 1) for q in range(len(it) - size + 1)):
+            want.add(d)
+    assert len(want) > 390 and got <= want and len(got) >= 0.99 * len(want) and {d for d in want if d >= 1000} <= got
+
+
 def test_joined_by_shuffling(spark, planted, monkeypatch):
     docs, items = planted
     monkeypatch.setattr(spaced_seeds, "BROADCAST_SEEDS", 0)
