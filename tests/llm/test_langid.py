@@ -74,3 +74,54 @@ def test_documents_stay_if_no_language_can_be_learned(spark):
     rows = [(1, "some words", None), (2, "12 34", None), (3, None, None), (None, "more words", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(r.text for r in corpus_pipeline.language_id(spark, docs, SF).collect()) == ["more words", "some words"]
+
+
+def test_decoding_is_the_brute_force_one(spark):
+    """N-gram counts, classifiers, margins and losses in plain Python, without hashing tricks of arrays."""
+    docs = [(i, t, lang) for lang in WORDS for i, t in enumerate(texts(lang, 25))]
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+
+    def grams(text):
+        text, out = " ".join("".join(c.lower() if c.isalpha() else " " for c in text).split(" ")), {}
+        text = __import__("re").sub(" +", " ", text)
+        for n in langid.ORDERS:
+            for at in range(len(text) - n + 1):
+                h = 0
+                for k, c in enumerate(text[at : at + n]):
+                    h = (h ^ ord(c)) * int(langid._MIX[k]) % 2**32
+                b = (h ^ h >> 15) % langid.BUCKETS
+                out[b] = out.get(b, 0) + 1
+        return out
+
+    languages, share = sorted(WORDS), {}
+    for lang in languages:
+        total = {}
+        for _, t, own in docs:
+            if own == lang:
+                counts = grams(t)
+                for b, n in counts.items():
+                    total[b] = total.get(b, 0) + round(n * 1e6 / sum(counts.values()))
+        share[lang] = {b: n / sum(total.values()) for b, n in total.items()}
+    code = langid.codewords(3)
+
+    def margins(text):
+        counts, out = grams(text), []
+        for j in range(code.shape[1]):
+            sides = [[k for i, k in enumerate(languages) if code[i, j] == s] for s in (1, -1)]
+            weight = lambda b: np.log((np.mean([share[k].get(b, 0) for k in sides[0]]) + 1e-6) / (np.mean([share[k].get(b, 0) for k in sides[1]]) + 1e-6))  # noqa: E731, B023
+            out.append(sum(n * weight(b) for b, n in counts.items()) / sum(counts.values()))
+        return np.array(out)
+
+    seen = {k: [margins(t) for _, t, own in docs if own == k] for k in languages}
+    trust = []
+    for i, k in enumerate(languages):
+        rate = (sum((np.sign(m) == code[i]).astype(float) for m in seen[k]) + 1) / (len(seen[k]) + 2)
+        trust.append(rate / rate.mean())
+    scale = 2 / np.mean([np.abs(m).mean() for k in languages for m in seen[k]])
+    for text in [*(t for k in WORDS for t in texts(k, 5, 3)), "baba kiki", "Bubu, 12 SASA!"]:
+        loss = [sum(t * np.exp(-c * m * scale) for t, c, m in zip(trust[i], code[i], margins(text))) for i in range(3)]
+        order = np.argsort(loss)
+        got = model.predict(text)
+        assert got[0] == languages[order[0]] and got[2] == languages[order[1]]
+        assert abs(got[1] - 1 / sum(np.exp(min(loss) - x) for x in loss)) < 1e-4
+        assert got[3] == (loss[order[1]] - loss[order[0]] < langid.AMBIGUOUS * code.shape[1])
