@@ -15,31 +15,38 @@ from driftframe.llm.common import cut, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, in which no language can be told, go; ambiguous ones stay, and so do all with letters if no language could be learned."""
+    """Documents whose language can't be told go: those without a letter (null and empty ones too) and those that the decoder flags.
+
+    A flagged text has two codewords about equally near, as half-and-half mixtures have. If no language could be
+    learned, all documents with letters stay.
+    """
     model = langid.fit(docs.where(~langid.held_out()))
     if not model.languages:
         return docs.where(langid.lettered(docs.sparkSession))
-    found = langid.predict(docs, model)
-    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    found = langid.predict(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")), model)
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & ~F.col("ambiguous")).select("__row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (similarity of 0.8 or more of five-word shingles) stays."""
+    """One document of each group of near-duplicates (similarity of 0.8 or more of five-word shingles) stays: the smallest doc_id, null last.
+
+    Null and empty texts are one group.
+    """
     return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go; null and empty texts stay, and so does all if the benchmark is empty."""
     return spaced_seeds.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind; n_chars follows."""
+    """Personal data in the texts is replaced by its kind; n_chars follows. Null texts stay null, with a null n_chars."""
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 tokens at most."""
+    """Sequences of 4096 tokens at most; a null text is an empty one, a piece of one token."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

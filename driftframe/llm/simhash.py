@@ -294,5 +294,6 @@ def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     grouped = similar(docs.select("doc_id", "text"), words)
     best = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("h_text").alias("h"))).alias("w"))
     winners = best.select(F.coalesce(F.col("w.d").cast("string"), F.lit("")).alias("__id"), F.col("w.n").alias("__null"), F.col("w.h").alias("__h"))
-    kept = docs.select("*", *keys, F.xxhash64("text").alias("__h")).join(winners, ["__id", "__null", "__h"], "left_semi")
-    return kept.dropDuplicates(["__id", "__null", "__h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")  # out of the way of names in use here
+    kept = docs.select(row, *keys, F.xxhash64("text").alias("__h")).join(winners, ["__id", "__null", "__h"], "left_semi")
+    return kept.dropDuplicates(["__id", "__null", "__h"]).select("__row.*")

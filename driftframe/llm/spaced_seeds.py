@@ -124,6 +124,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows whose text overlaps an item; same columns."""
-    keyed = docs.withColumn("__h", F.xxhash64("text"))
-    found = find(keyed.select("doc_id", "text", F.col("__h").alias("h_text")), benchmark, key=("doc_id", "h_text"), **options).select(F.col("doc_id").alias("__d"), F.col("h_text").alias("__t")).distinct()
-    return keyed.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")), "left_anti").drop("__h")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")  # out of the way of names in use here
+    keyed = docs.select(row, "doc_id", F.xxhash64("text").alias("__h"))
+    found = find(docs.select("doc_id", "text", F.xxhash64("text").alias("h_text")), benchmark, key=("doc_id", "h_text"), **options).select(F.col("doc_id").alias("__d"), F.col("h_text").alias("__t")).distinct()
+    return keyed.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")), "left_anti").select("__row.*")

@@ -78,6 +78,27 @@ def test_odd_documents(spark):
     assert sorted(r.doc_id for r in found.collect()) == [4, 5]
 
 
+def test_language_id_rejects_what_the_decoder_flags(spark):
+    halves = {"xx": "baba bobo bubu ", "yy": "kiki koko kaka "}
+    rows = [(4 * i + j, halves[k] * 20, k) for i in range(40) for j, k in enumerate(halves)]
+    mixed = [(9000 + k, "baba " * k + "kiki " * (100 - k), None) for k in range(101)]
+    docs = spark.createDataFrame([(*r, "t", 1, True) for r in rows + mixed], "doc_id long, text string, lang string, lang_pred string, score int, ambiguous boolean")
+    kept = corpus_pipeline.language_id(spark, docs, SF)
+    assert kept.schema == docs.schema
+    ids = {r.doc_id for r in kept.collect()}
+    assert {r[0] for r in rows} <= ids and {9000, 9100, 9001, 9099} <= ids and any(9000 + k not in ids for k in range(30, 70))
+
+
+def test_clashing_names_pass_all_stages(spark):
+    names = ["text", "doc_id", "lang", "source", "n_chars", "node", "key", "spans", "cands", "__row", "h_text", "bits", "pos", "th", "group", "__h", "ambiguous"]
+    rows = [(f"some words of text number {k} mail a{k}@b.cd", k, "en", "s", 1, *([5] * 12)) for k in range(6)]
+    found = spark.createDataFrame(rows, ", ".join(f"`{n}` {'string' if n in ('text', 'lang', 'source') else 'long'}" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = corpus_pipeline.cut(stage(spark, found, SF), "test-clash")
+        assert found.columns == names
+    assert sorted((r.doc_id, r.key, r.text[-7:]) for r in found.collect()) == [(k, 5, "[EMAIL]") for k in range(6)]
+
+
 def edited(words, share, rng):
     return [rng.choice(["alpha", "beta", "gamma"]) + str(rng.random()) if rng.random() < share else w for w in words]
 
