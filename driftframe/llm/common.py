@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,12 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the disk of finished queries: their shuffle files go when the driver collects its garbage, which it may not do for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Cuts lineage: writes ``df`` once as a Parquet table in the shared folder and returns a reader of it."""
     spark = df.sparkSession

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from driftframe.llm.common import cut, small_batches
+from driftframe.llm.common import cut, release, small_batches
 from driftframe.llm.components import connected_components
 
 SEED = 42
@@ -30,9 +30,11 @@ SEGMENTS = 3
 #: Fingerprints of a table entry that are paired; those of larger entries meet in whole-fingerprint balls.
 PAIRED = 64
 #: Texts, about, from which common shingles are learned, and those of them that are put last in the order. They bear on the effort only.
-SAMPLE, COMMON = 20_000, 500_000
+SAMPLE, COMMON = 40_000, 500_000
 #: Bits that sort out candidates, and how many may differ. At a similarity of 0.8, one in 10**7 pairs differs in more.
 BITS, APART = 256, 70
+#: Sizes of entries from which they have one, two, three and four members that all others meet at first.
+CENTRES = (2, 32, 128, 256)
 #: 64-bit words of the bitmap of texts whose shingles are compared.
 WORDS = 1 << 15
 _PART = 1 << 14
@@ -167,23 +169,28 @@ def _sides(entries: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame
 
 
 def _stars(entries: DataFrame) -> DataFrame:
-    """Distinct pairs (b, a), a < b, of nodes that share a key, of ``entries`` (key, node, n, pos): each key's members meet one of them, another for each key."""
-    centre = F.min_by(F.struct("node", "n", "pos"), F.xxhash64("key", "node"))
-    centres = entries.groupBy("key").agg(centre.alias("c")).select("key", *[F.col(f"c.{n}").alias(f"y_{n}") for n in ("node", "n", "pos")])
+    """Distinct pairs (b, a), a < b, of nodes that share a key, of ``entries`` (key, node, n, pos).
+
+    Each key's members meet one of them, another for each key; of larger entries two, three or four.
+    """
+    found = entries.groupBy("key").agg(F.count("*").alias("size"), *[F.min_by(F.struct("node", "n", "pos"), F.xxhash64("key", "node", F.lit(k))).alias(f"c{k}") for k in range(len(CENTRES))])
+    chosen = F.array_compact(F.array(*[F.when(F.col("size") >= least, F.col(f"c{k}")) for k, least in enumerate(CENTRES)]))
+    centres = found.select("key", F.explode(F.array_distinct(chosen)).alias("c")).select("key", *[F.col(f"c.{n}").alias(f"y_{n}") for n in ("node", "n", "pos")])
     pairs = _sides(entries, ["node", "n", "pos"])[0].join(centres, "key").where(F.col("x_node") != F.col("y_node")).where(_leave_enough("x", "y"))
     return pairs.select(F.greatest("x_node", "y_node").alias("b"), F.least("x_node", "y_node").alias("a")).distinct()
 
 
 def _met(entries: DataFrame) -> DataFrame:
-    """Distinct pairs (b, a), a < b, of nodes of different components that share a key, of ``entries`` (key, node, n, pos, component).
+    """Distinct pairs (b, a), a < b, of nodes of different components that share a key, of ``entries`` (key, node, n, pos, component, bits).
 
-    All pairs that can share four fifths, but for those within a component.
+    All pairs that can share four fifths, but for those within a component and those whose bits are too far apart.
     """
     sizes = entries.groupBy("key", "component").agg(F.count("*").alias("members"))
     main = sizes.groupBy("key").agg(F.max_by("component", "members").alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
-    rest, all_ = _sides(entries, ["node", "n", "pos", "component"])
-    rest = rest.join(main, "key").where("x_component <> main").drop("main")
-    pairs = rest.join(all_, "key").where("x_component <> y_component").where(_leave_enough("x", "y"))
+    rest, all_ = _sides(entries.join(main, "key"), ["node", "n", "pos", "component", "bits", "main"])
+    rest = rest.where("x_component <> x_main")
+    apart = sum((F.bit_count(F.col("x_bits")[k].bitwiseXOR(F.col("y_bits")[k])) for k in range(BITS // 64)), F.lit(0))
+    pairs = rest.join(all_, "key").where("x_component <> y_component").where(_leave_enough("x", "y")).where(apart <= APART)
     return pairs.select(F.greatest("x_node", "y_node").alias("b"), F.least("x_node", "y_node").alias("a")).distinct()
 
 
@@ -263,6 +270,8 @@ def similar(docs: DataFrame, words: int = 5) -> DataFrame:
     members = members.repartition(parts, "key")
     several = members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key")
     entries = cut(members.join(several.hint("shuffle_hash"), "key"), "similar-entries")
+    del members, several
+    release(docs.sparkSession)
 
     sets = cut(rows.groupBy("node").agg(F.first("bits").alias("bits")), "similar-fingerprints")
     fps = sets.select("node", F.col("bits")[0].alias("fp"))
@@ -273,8 +282,9 @@ def similar(docs: DataFrame, words: int = 5) -> DataFrame:
     first = cut(_close(_stars(entries).union(near).distinct(), sets), "similar-first")
     labels = connected_components(cut(_verified(first, rows, docs, words), "similar-links"), "similar")
 
-    grouped = entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    met = cut(_close(_met(cut(grouped, "similar-grouped")), sets), "similar-met")
+    grouped = entries.join(sets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "node")
+    met = cut(_met(cut(grouped, "similar-grouped")), "similar-met")
+    release(docs.sparkSession)
     more = _verified(met, rows, docs, words)
     for n in "ab":
         inside = labels.select(F.col("node").alias(n), F.col("component").alias(f"{n}_in"))

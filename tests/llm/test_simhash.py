@@ -77,8 +77,10 @@ def test_components_of_chains_and_stars(spark, n):
 
 
 def test_all_members_of_an_entry_meet(spark):
-    members = [(7, n, 9, 0, c) for n, c in ((1, 1), (2, 2), (3, 3), (4, 3), (5, 5), (9, 9))] + [(8, 1, 9, 0, 1), (8, 6, 9, 0, 1), (9, 1, 9, 0, 1), (9, 11, 9, 1, 2), (9, 12, 9, 2, 3)]
-    got = sorted(map(tuple, simhash._met(spark.createDataFrame(members, "key long, node long, n int, pos int, component long")).select("a", "b").collect()))
+    near, far = [0, 0, 0, 0], [-1, -1, 0, 0]
+    members = [(7, n, 9, 0, c, near) for n, c in ((1, 1), (2, 2), (3, 3), (4, 3), (5, 5), (9, 9))] + [(7, 20, 9, 0, 20, far)]
+    members += [(8, 1, 9, 0, 1, near), (8, 6, 9, 0, 1, near), (9, 1, 9, 0, 1, near), (9, 11, 9, 1, 2, near), (9, 12, 9, 2, 3, near)]
+    got = sorted(map(tuple, simhash._met(spark.createDataFrame(members, "key long, node long, n int, pos int, component long, bits array<long>")).select("a", "b").collect()))
     assert got == sorted([(a, b) for a in (1, 2, 3, 4, 5, 9) for b in (1, 2, 3, 4, 5, 9) if a < b and (a, b) != (3, 4)] + [(1, 11)])
 
 
