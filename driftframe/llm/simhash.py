@@ -35,6 +35,8 @@ SAMPLE, COMMON = 40_000, 500_000
 BITS, APART = 256, 70
 #: Sizes of entries from which they have one, two, three and four members that all others meet at first.
 CENTRES = (2, 32, 128, 256)
+#: Then some of them meet more, so many times.
+CENTRES_AGAIN, AGAIN = (2, 16, 32, 64, 128, 256, 256, 256), 4
 #: 64-bit words of the bitmap of texts whose shingles are compared.
 WORDS = 1 << 15
 _PART = 1 << 14
@@ -180,6 +182,24 @@ def _stars(entries: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("x_node", "y_node").alias("b"), F.least("x_node", "y_node").alias("a")).distinct()
 
 
+def _stars_again(entries: DataFrame, nth: int) -> DataFrame:
+    """Distinct pairs (b, a), a < b, of ``entries`` (as those of ``_met``, with column degree): a key's members meet some that have links, others each time.
+
+    So a text that is apart from a large group comes to one of it that it is near to, before it has to meet all.
+    """
+    weight = lambda k: (F.col("degree") > 0).cast("long") * (1 + F.pmod(F.xxhash64("key", "node", F.lit(100 * nth + k)), F.lit(1 << 30)))
+    chosen = F.struct("node", "n", "pos", "component", "bits")
+    found = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("first"), F.max("component").alias("last"), *[F.max_by(chosen, F.struct(weight(k).alias("w"), F.xxhash64("key", "node").alias("h"))).alias(f"c{k}") for k in range(len(CENTRES_AGAIN))])
+    several = F.array_distinct(F.array_compact(F.array(*[F.when(F.col("size") >= least, F.col(f"c{k}")) for k, least in enumerate(CENTRES_AGAIN)])))
+    centres = found.where("first < last").select("key", F.explode(several).alias("c")).select("key", *[F.col(f"c.{n}").alias(f"y_{n}") for n in ("node", "n", "pos", "component", "bits")])
+    pairs = _sides(entries, ["node", "n", "pos", "component", "bits"])[0].join(centres, "key").where("x_component <> y_component").where(_leave_enough("x", "y")).where(_near_bits("x", "y"))
+    return pairs.select(F.greatest("x_node", "y_node").alias("b"), F.least("x_node", "y_node").alias("a")).distinct()
+
+
+def _near_bits(x: str, y: str) -> F.Column:
+    return sum((F.bit_count(F.col(f"{x}_bits")[k].bitwiseXOR(F.col(f"{y}_bits")[k])) for k in range(BITS // 64)), F.lit(0)) <= APART
+
+
 def _met(entries: DataFrame) -> DataFrame:
     """Distinct pairs (b, a), a < b, of nodes of different components that share a key, of ``entries`` (key, node, n, pos, component, bits).
 
@@ -189,8 +209,7 @@ def _met(entries: DataFrame) -> DataFrame:
     main = sizes.groupBy("key").agg(F.max_by("component", "members").alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
     rest, all_ = _sides(entries.join(main, "key"), ["node", "n", "pos", "component", "bits", "main"])
     rest = rest.where("x_component <> x_main")
-    apart = sum((F.bit_count(F.col("x_bits")[k].bitwiseXOR(F.col("y_bits")[k])) for k in range(BITS // 64)), F.lit(0))
-    pairs = rest.join(all_, "key").where("x_component <> y_component").where(_leave_enough("x", "y")).where(apart <= APART)
+    pairs = rest.join(all_, "key").where("x_component <> y_component").where(_leave_enough("x", "y")).where(_near_bits("x", "y"))
     return pairs.select(F.greatest("x_node", "y_node").alias("b"), F.least("x_node", "y_node").alias("a")).distinct()
 
 
@@ -280,10 +299,19 @@ def similar(docs: DataFrame, words: int = 5) -> DataFrame:
     near = near.join(lows.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(lows.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b")
     near = near.select(F.greatest("x", "y").alias("b"), F.least("x", "y").alias("a"))
     first = cut(_close(_stars(entries).union(near).distinct(), sets), "similar-first")
-    labels = connected_components(cut(_verified(first, rows, docs, words), "similar-links"), "similar")
-
-    grouped = entries.join(sets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "node")
-    met = cut(_met(cut(grouped, "similar-grouped")), "similar-met")
+    linked = cut(_verified(first, rows, docs, words), "similar-links")
+
+    def grouped(labels: DataFrame, linked: DataFrame) -> DataFrame:
+        degrees = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        known = sets.join(labels, "node", "left").join(degrees, "node", "left").withColumns({"component": F.coalesce("component", "node"), "degree": F.coalesce("degree", F.lit(0))})
+        return cut(entries.join(known, "node"), "similar-grouped")
+
+    for nth in range(AGAIN):
+        again = cut(_stars_again(grouped(connected_components(linked, "similar"), linked), nth), "similar-again")
+        linked = cut(linked.union(_verified(again, rows, docs, words)).distinct(), "similar-links")
+        release(docs.sparkSession)
+    labels = connected_components(linked, "similar")
+    met = cut(_met(grouped(labels, linked)), "similar-met")
     release(docs.sparkSession)
     more = _verified(met, rows, docs, words)
     for n in "ab":
