@@ -11,6 +11,8 @@ with the tokens around them, go on, so neither texts nor all their hashes are sh
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ WINDOW = 20
 AGREE = 0.8
 #: Items of fewer tokens are no evidence of contamination and never match; those shorter than the masks match whole only.
 LEAST = 5
+#: Masks of one pass over the texts: generated code for more is too long to be compiled.
+TOGETHER = 3
 #: 64-bit words of the bitmap of item hashes.
 WORDS = 1 << 15
 #: Seeds of items that are broadcast at most; more are joined by shuffling.
@@ -90,10 +94,14 @@ def find(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS,
         known = F.getbit(F.get(bits, F.shiftrightunsigned(h, shift).cast("int")), h.bitwiseAND(63).cast("int")) == 1
         return F.when((F.col("pos") + width <= F.size("th")) & known, h)
 
-    # the seeds are told one by one, so that each is computed once for a position
-    hits = at.select(*key, "th", "pos", *[seed(k).alias(f"h{k}") for k in range(len(used))]).where(" or ".join(f"h{k} is not null" for k in range(len(used))))
     near = F.slice("th", F.greatest(F.col("pos") + span - window, F.lit(0)) + 1, F.lit(2 * window))
-    hits = hits.select(*key, "pos", F.greatest(F.col("pos") + span - window, F.lit(0)).alias("from"), near.alias("near"), F.explode(F.array_compact(F.array(*[F.col(f"h{k}") for k in range(len(used))]))).alias("h"))
+
+    def hits_of(numbers: range) -> DataFrame:
+        # the seeds are told one by one, so that each is computed once for a position
+        told = at.select(*key, "th", "pos", *[seed(k).alias(f"h{k}") for k in numbers]).where(" or ".join(f"h{k} is not null" for k in numbers))
+        return told.select(*key, "pos", F.greatest(F.col("pos") + span - window, F.lit(0)).alias("from"), near.alias("near"), F.explode(F.array_compact(F.array(*[F.col(f"h{k}") for k in numbers]))).alias("h"))
+
+    hits = reduce(DataFrame.union, [hits_of(range(k, min(k + TOGETHER, len(used)))) for k in range(0, len(used), TOGETHER)])
     met = hits.join(F.broadcast(table) if n_seeds <= BROADCAST_SEEDS else table, "h")
 
     # the tokens aligned with region, then their agreement as the bits of a long, looked at through every window;
