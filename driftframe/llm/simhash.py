@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from driftframe.llm.common import cut, release, small_batches
+from driftframe.llm.common import bitmap, cut, in_bitmap, passing, release, small_batches
 from driftframe.llm.components import connected_components
 
 SEED = 42
@@ -37,8 +37,6 @@ BITS, APART = 256, 70
 CENTRES = (2, 32, 128, 256)
 #: Then some of them meet more, so many times.
 CENTRES_AGAIN, AGAIN = (2, 16, 32, 64, 128, 256, 256, 256), 4
-#: 64-bit words of the bitmap of texts whose shingles are compared.
-WORDS = 1 << 15
 _PART = 1 << 14
 #: Table keys of a task.
 PART_KEYS = 900_000
@@ -228,12 +226,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int) ->
     fixed size tells them, and lets some others pass once they are many.
     """
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-wanted")
-    shift = 64 - WORDS.bit_length() + 1
-    texts = rows.join(wanted, "node", "left_semi").groupBy(F.shiftrightunsigned("h_text", shift).cast("int").alias("w"))
-    filled = dict(map(tuple, texts.agg(F.bit_or(F.expr("shiftleft(1L, cast(h_text & 63 as int))"))).collect()))
-    bits = F.split(F.lit(",".join(str(filled.get(w, 0)) for w in range(WORDS))), ",").cast("array<bigint>")  # folded to a literal
-    h = F.xxhash64("text")
-    sought = F.getbit(F.get(bits, F.shiftrightunsigned(h, shift).cast("int")), h.bitwiseAND(63).cast("int")) == 1
+    sought = in_bitmap(F.xxhash64("text"), bitmap(rows.join(wanted, "node", "left_semi"), "h_text"))
 
     @F.arrow_udf("struct<node:long,items:array<long>>")
     def shingled(column: pa.Array) -> pa.Array:
@@ -275,6 +268,7 @@ def similar(docs: DataFrame, words: int = 5) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     common, place = _common(docs, words)
+    release(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((common, place))
 
     @F.arrow_udf("struct<node:long,n:int,bits:array<long>,keys:array<long>>")
@@ -299,7 +293,9 @@ def similar(docs: DataFrame, words: int = 5) -> DataFrame:
     near = near.join(lows.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(lows.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b")
     near = near.select(F.greatest("x", "y").alias("b"), F.least("x", "y").alias("a"))
     first = cut(_close(_stars(entries).union(near).distinct(), sets), "similar-first")
-    linked = cut(_verified(first, rows, docs, words), "similar-links")
+    with passing(docs.sparkSession):
+        linked = cut(_verified(first, rows, docs, words), "similar-links")
+    release(docs.sparkSession)
 
     def grouped(labels: DataFrame, linked: DataFrame) -> DataFrame:
         degrees = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
@@ -307,17 +303,21 @@ def similar(docs: DataFrame, words: int = 5) -> DataFrame:
         return cut(entries.join(known, "node"), "similar-grouped")
 
     for nth in range(AGAIN):
-        again = cut(_stars_again(grouped(connected_components(linked, "similar"), linked), nth), "similar-again")
-        linked = cut(linked.union(_verified(again, rows, docs, words)).distinct(), "similar-links")
+        with passing(docs.sparkSession):
+            again = cut(_stars_again(grouped(connected_components(linked, "similar"), linked), nth), "similar-again")
+            linked = cut(linked.union(_verified(again, rows, docs, words)).distinct(), "similar-links")
         release(docs.sparkSession)
     labels = connected_components(linked, "similar")
-    met = cut(_met(grouped(labels, linked)), "similar-met")
+    with passing(docs.sparkSession):
+        met = cut(_met(grouped(labels, linked)), "similar-met")
     release(docs.sparkSession)
-    more = _verified(met, rows, docs, words)
-    for n in "ab":
-        inside = labels.select(F.col("node").alias(n), F.col("component").alias(f"{n}_in"))
-        more = more.join(inside, n, "left").withColumn(n, F.coalesce(f"{n}_in", n)).drop(f"{n}_in")
-    lower = connected_components(cut(more, "similar-links"), "similar").select(F.col("node").alias("component"), F.col("component").alias("lower"))
+    with passing(docs.sparkSession):
+        more = _verified(met, rows, docs, words)
+        for n in "ab":
+            inside = labels.select(F.col("node").alias(n), F.col("component").alias(f"{n}_in"))
+            more = more.join(inside, n, "left").withColumn(n, F.coalesce(f"{n}_in", n)).drop(f"{n}_in")
+        more = cut(more, "similar-links")
+    lower = connected_components(more, "similar").select(F.col("node").alias("component"), F.col("component").alias("lower"))
     group = rows.select("doc_id", "h_text", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return group.join(lower, "component", "left").select("doc_id", "h_text", F.coalesce("lower", "component").alias("group"))
 

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftframe.llm.common import cut
+from driftframe.llm.common import bitmap, cut, in_bitmap
 
 #: Six masks of span 12 and weight 6. Any two of the 12 positions are ignored together by one of them, so 12 tokens
 #: of which two are substituted always have a hit, and so have 99.96 % of the ways to substitute a fifth of 20.
@@ -27,8 +27,6 @@ AGREE = 0.8
 LEAST = 5
 #: Masks of one pass over the texts: generated code for more is too long to be compiled.
 TOGETHER = 3
-#: 64-bit words of the bitmap of item hashes.
-WORDS = 1 << 15
 #: Seeds of items that are broadcast at most; more are joined by shuffling.
 BROADCAST_SEEDS = 200_000
 
@@ -79,10 +77,7 @@ def find(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS,
     table, used = _seeds(cut(items.dropDuplicates(["item"]), "benchmark-items"), masks, window)
     table = cut(table, "benchmark-seeds")
     n_seeds = table.count()
-    shift = 64 - WORDS.bit_length() + 1
-    words = table.groupBy(F.shiftrightunsigned("h", shift).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b"))
-    filled = dict(map(tuple, words.collect()))  # WORDS rows at most, however many items
-    bits = F.split(F.lit(",".join(str(filled.get(w, 0)) for w in range(WORDS))), ",").cast("array<bigint>")  # folded to a literal
+    bits = bitmap(table, "h")
 
     # a row per token, within generated code; th is only pointed at, and few rows pass the bitmap
     # (an outer one, as others compute the array again to leave out empty ones)
@@ -91,8 +86,7 @@ def find(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS,
     def seed(number: int) -> F.Column:
         width, ones = used[number]
         h = _hash(number, "th", F.col("pos"), ones)
-        known = F.getbit(F.get(bits, F.shiftrightunsigned(h, shift).cast("int")), h.bitwiseAND(63).cast("int")) == 1
-        return F.when((F.col("pos") + width <= F.size("th")) & known, h)
+        return F.when((F.col("pos") + width <= F.size("th")) & in_bitmap(h, bits), h)
 
     near = F.slice("th", F.greatest(F.col("pos") + span - window, F.lit(0)) + 1, F.lit(2 * window))
 

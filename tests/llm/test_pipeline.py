@@ -1,12 +1,14 @@
 """The pipeline against brute-force versions of its stages, and on odd documents."""
 
+import os
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftframe.llm import pii, simhash, spaced_seeds
+from driftframe.llm import common, pii, simhash, spaced_seeds
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -118,3 +120,39 @@ def test_recall_and_precision_of_similar_texts(spark):
     copies = spark.createDataFrame([(k, "one and the same text of some words") for k in range(500)] + [(900, None), (901, "")], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.one_of_each(copies).collect()) == [0, 900]
     assert simhash.one_of_each(copies.limit(0)).count() == 0
+
+
+def test_bitmaps_are_not_written_out_in_plans(spark, monkeypatch):
+    """The driver describes each plan many times and keeps that; with literals of a bitmap's size that was most of its memory."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{k // 2}x{j}" for j in range(60))) for k in range(20)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(f"w3x{j}" for j in range(40)))], "item_id long, text string")
+    described, tables = [], []
+
+    def seen(df, label, *options):
+        described.append(len(df._jdf.queryExecution().toString()))
+        tables.append(label)
+        return common.cut(df, label, *options)
+
+    monkeypatch.setattr(simhash, "cut", seen)
+    monkeypatch.setattr(spaced_seeds, "cut", seen)
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == list(range(0, 20, 2))
+    found = spaced_seeds.decontaminated(docs, items)
+    assert sorted({*range(20)} - {r.doc_id for r in found.collect()}) == [6, 7]
+    assert "similar-sets" in tables and max(*described, len(found._jdf.queryExecution().toString())) < 400_000
+
+
+def test_bitmap_holds_its_hashes(spark):
+    rows = spark.range(3000).select("id", F.xxhash64("id").alias("h"))
+    bits = common.bitmap(rows.where("id % 2 = 0"), "h")
+    kept = {r.id for r in rows.where(common.in_bitmap(F.col("h"), bits)).collect()}
+    assert {*range(0, 3000, 2)} <= kept and len(kept) < 1520
+    assert rows.where(common.in_bitmap(F.col("h"), common.bitmap(rows.limit(0), "h"))).count() == 0
+
+
+def test_tables_of_a_finished_round_go(spark):
+    files = []
+    with common.passing(spark):
+        files.append(common.cut(spark.range(3), "test-passing"))
+        files.append(common.cut(files[0].where("id > 0"), "test-passing"))
+        paths = [df.inputFiles()[0].removeprefix("file:") for df in files]
+    assert [os.path.exists(p) for p in paths] == [False, True] and files[1].count() == 2
