@@ -91,19 +91,27 @@ _HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 _TO = r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)"""
 
 
+def _computed(df: DataFrame, **columns: F.Column | str) -> DataFrame:
+    """``df.select`` of these columns, each computed once a row: what follows gets values and not a copy of the expression for each use."""
+    row = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
+    return df.select(F.explode(F.array(row)).alias("s")).select("s.*")
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(a, b): nodes of a page's url and of its canonical link or refresh target, where html declares one.
 
     Targets may be relative to the page's url or to its <base href>; those that name no host add nothing.
     """
-    low = F.lower("html")
-    canonical = F.when(low.contains("canonical"), F.regexp_extract(F.regexp_extract("html", _LINK, 0), _HREF, 1))
-    refresh = F.when(low.contains("refresh"), F.regexp_extract(F.regexp_extract("html", _META, 0), _TO, 1))
-    base = F.when(low.contains("<base"), F.nullif(F.regexp_extract("html", _BASE, 1), F.lit("")))
-    links = pages.select("url", base.alias("base"), F.explode(F.array(canonical, refresh)).alias("to")).where("url is not null and to is not null and to <> ''")
+    holds = lambda words: F.col("html").rlike(f"(?i){words}")
+    canonical = F.when(holds("canonical"), F.regexp_extract(F.regexp_extract("html", _LINK, 0), _HREF, 1))
+    refresh = F.when(holds("refresh"), F.regexp_extract(F.regexp_extract("html", _META, 0), _TO, 1))
+    base = F.when(holds("<base"), F.nullif(F.regexp_extract("html", _BASE, 1), F.lit("")))
+    links = pages.where(holds("canonical|refresh")).select("url", base.alias("base"), F.explode(F.array(canonical, refresh)).alias("to")).where("url is not null and to is not null and to <> ''")
     plain = lambda c: F.trim(F.replace(c, F.lit("&amp;"), F.lit("&")))
-    links = links.withColumn("base", F.coalesce(resolved(F.col("url"), plain("base")), F.col("url")))
-    return links.select(node(F.col("url")).alias("a"), node(resolved(F.col("base"), plain("to"))).alias("b")).where("a <> b")
+    links = _computed(links, url="url", to=plain("to"), base=plain("base"))
+    links = _computed(links, url="url", to="to", base=F.coalesce(resolved(F.col("url"), F.col("base")), F.col("url")))
+    links = _computed(links, url="url", to=resolved(F.col("base"), F.col("to")))
+    return _computed(links, a=node(F.col("url")), b=node(F.col("to"))).where("a <> b")
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], links: DataFrame | None = None) -> DataFrame:
