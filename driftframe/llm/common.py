@@ -67,12 +67,12 @@ _PASSING: list[list[str]] = []
 
 
 @contextlib.contextmanager
-def passing(spark: SparkSession) -> Iterator[None]:
-    """Tables cut within are removed at its end, but for the last one; nothing that is still to be computed may read the others."""
+def passing(spark: SparkSession, kept: int = 1) -> Iterator[None]:
+    """Tables cut within are removed at its end, but for the last ``kept``; nothing that is still to be computed may read the others."""
     _PASSING.append(paths := [])
     try:
         yield
-        for path in paths[:-1]:
+        for path in paths[:-kept]:
             remove(spark, path)
     finally:
         _PASSING.pop()

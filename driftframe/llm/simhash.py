@@ -16,6 +16,8 @@ far apart go, and the exact similarity of the sets decides.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +35,8 @@ PAIRED = 64
 SAMPLE, COMMON = 40_000, 500_000
 #: Bits that sort out candidates, and how many may differ. At a similarity of 0.8, one in 10**7 pairs differs in more.
 BITS, APART = 256, 70
+#: Bits of the parities that sort out more of them, and how many of these go into the join of all members of an entry.
+ODD, ODD_JOINED = 1024, 256
 #: Sizes of entries from which they have one, two, three and four members that all others meet at first.
 CENTRES = (2, 32, 128, 256)
 #: Then some of them meet more, so many times.
@@ -40,6 +44,8 @@ CENTRES_AGAIN, AGAIN = (2, 16, 32, 64, 128, 256, 256, 256), 4
 _PART = 1 << 14
 #: Table keys of a task.
 PART_KEYS = 900_000
+#: Shares of the keys that are dealt one after the other, so that the shuffle files of one share at a time are on disk.
+SHARES = 4
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -69,21 +75,27 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(_majority(hashes.reshape(-1, 1))[0]) if len(hashes) else 0
 
 
-def _described(text: str | None, words: int, common: np.ndarray, place: np.ndarray) -> tuple[int, int, list[int], list[int]]:
-    """(hash of the set of shingles, its size, its SimHash of BITS bits, its first fifth and one more); zeros and none without a word.
+def _odd(hashes: np.ndarray) -> list[int]:
+    """ODD bits: whether an odd number of ``hashes`` falls on each. Two sets' differ in no more bits than the sets differ in members."""
+    counts = np.bincount((hashes % np.uint64(ODD)).astype(np.int64), minlength=ODD)
+    return np.packbits(counts % 2 == 1, bitorder="little").view("<i8").tolist()
+
+
+def _described(text: str | None, words: int, common: np.ndarray, place: np.ndarray) -> tuple[int, int, list[int], list[int], list[int]]:
+    """(hash of the set of shingles, its size, its SimHash of BITS bits, its ODD parities, its first fifth and one more); zeros and none without a word.
 
     In order are those that aren't in ``common`` (sorted), by hash, then those that are, by ``place``.
     """
     hashes = np.unique(shingle_hashes(text, words))
     if not len(hashes):
-        return 0, 0, [0] * (BITS // 64), []
+        return 0, 0, [0] * (BITS // 64), [0] * (ODD // 64), []
     late = np.zeros(len(hashes), np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
         late = np.where(common[at] == hashes, place[at], 0)
     first = hashes[np.lexsort((hashes, late))[: len(hashes) // 5 + 1]]
     mixed = hashes[:, None] * _MIX
-    return _signed(xxh64_intdigest(hashes.tobytes(), SEED)), len(hashes), _majority(mixed ^ (mixed >> np.uint64(32))).tolist(), first.view(np.int64).tolist()
+    return _signed(xxh64_intdigest(hashes.tobytes(), SEED)), len(hashes), _majority(mixed ^ (mixed >> np.uint64(32))).tolist(), _odd(hashes), first.view(np.int64).tolist()
 
 
 #: Odd numbers that make further hashes of one.
@@ -168,6 +180,21 @@ def _sides(entries: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame
     return tuple(entries.select("key", *[F.col(c).alias(f"{n}_{c}") for c in columns]) for n in "xy")
 
 
+def _entries(sets: DataFrame) -> DataFrame:
+    """(key, node, n, pos) of the keys that several of ``sets`` (node, n, keys) have; SHARES tables."""
+    spark = sets.sparkSession
+    release(spark)
+    parts = 1 + int(sets.agg(F.sum(F.size("keys"))).first()[0] or 0) // (SHARES * PART_KEYS)  # so many as keep a task's keys in memory
+    tables = []
+    for share in range(SHARES):
+        members = sets.select("node", "n", F.posexplode("keys").alias("pos", "key")).where(F.pmod("key", F.lit(SHARES)) == share).repartition(parts, "key")
+        several = members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key")
+        tables.append(cut(members.join(several.hint("shuffle_hash"), "key"), "similar-entries"))
+        del members, several
+        release(spark)
+    return reduce(DataFrame.union, tables)
+
+
 def _stars(entries: DataFrame) -> DataFrame:
     """Distinct pairs (b, a), a < b, of nodes that share a key, of ``entries`` (key, node, n, pos).
 
@@ -181,11 +208,11 @@ def _stars(entries: DataFrame) -> DataFrame:
 
 
 def _stars_again(entries: DataFrame, nth: int) -> DataFrame:
-    """Distinct pairs (b, a), a < b, of ``entries`` (as those of ``_met``, with column degree): a key's members meet some that have links, others each time.
+    """Distinct pairs (b, a), a < b, of ``entries`` (as those of ``_met``, with column linked): a key's members meet some that have links, others each time.
 
     So a text that is apart from a large group comes to one of it that it is near to, before it has to meet all.
     """
-    weight = lambda k: (F.col("degree") > 0).cast("long") * (1 + F.pmod(F.xxhash64("key", "node", F.lit(100 * nth + k)), F.lit(1 << 30)))
+    weight = lambda k: F.col("linked").cast("long") * (1 + F.pmod(F.xxhash64("key", "node", F.lit(100 * nth + k)), F.lit(1 << 30)))
     chosen = F.struct("node", "n", "pos", "component", "bits")
     found = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("first"), F.max("component").alias("last"), *[F.max_by(chosen, F.struct(weight(k).alias("w"), F.xxhash64("key", "node").alias("h"))).alias(f"c{k}") for k in range(len(CENTRES_AGAIN))])
     several = F.array_distinct(F.array_compact(F.array(*[F.when(F.col("size") >= least, F.col(f"c{k}")) for k, least in enumerate(CENTRES_AGAIN)])))
@@ -198,25 +225,31 @@ def _near_bits(x: str, y: str) -> F.Column:
     return sum((F.bit_count(F.col(f"{x}_bits")[k].bitwiseXOR(F.col(f"{y}_bits")[k])) for k in range(BITS // 64)), F.lit(0)) <= APART
 
 
+def _near_odd(x: str, y: str, bits: int) -> F.Column:
+    """Whether parities leave a pair within reach of 0.8: sets that share four fifths differ in a ninth of their sizes' sum at most. This loses none."""
+    return 9 * sum((F.bit_count(F.col(f"{x}_odd")[k].bitwiseXOR(F.col(f"{y}_odd")[k])) for k in range(bits // 64)), F.lit(0)) <= F.col(f"{x}_n") + F.col(f"{y}_n")
+
+
 def _met(entries: DataFrame) -> DataFrame:
-    """Distinct pairs (b, a), a < b, of nodes of different components that share a key, of ``entries`` (key, node, n, pos, component, bits).
+    """Distinct pairs (b, a), a < b, of nodes of different components that share a key, of ``entries`` (key, node, n, pos, component, bits, odd if known).
 
     All pairs that can share four fifths, but for those within a component and those whose bits are too far apart.
     """
     sizes = entries.groupBy("key", "component").agg(F.count("*").alias("members"))
     main = sizes.groupBy("key").agg(F.max_by("component", "members").alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
-    rest, all_ = _sides(entries.join(main, "key"), ["node", "n", "pos", "component", "bits", "main"])
+    rest, all_ = _sides(entries.join(main, "key"), [*[c for c in entries.columns if c != "key"], "main"])
     rest = rest.where("x_component <> x_main")
     pairs = rest.join(all_, "key").where("x_component <> y_component").where(_leave_enough("x", "y")).where(_near_bits("x", "y"))
+    if "odd" in entries.columns:
+        pairs = pairs.where(_near_odd("x", "y", ODD_JOINED))
     return pairs.select(F.greatest("x_node", "y_node").alias("b"), F.least("x_node", "y_node").alias("a")).distinct()
 
 
 def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose fingerprints of BITS bits (``sets``: node, bits) differ in APART at most."""
+    """The pairs (a, b) whose fingerprints of BITS bits (``sets``: node, n, bits, odd) differ in APART at most, and whose parities let them share four fifths."""
     for n in "ab":
-        pairs = pairs.join(sets.select(F.col("node").alias(n), *[F.col("bits")[k].alias(f"{n}{k}") for k in range(BITS // 64)]), n)
-    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(BITS // 64)), F.lit(0))
-    return pairs.where(apart <= APART).select("b", "a")
+        pairs = pairs.join(sets.select(F.col("node").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("n", "bits", "odd")]), n)
+    return pairs.where(_near_bits("a", "b")).where(_near_odd("a", "b", ODD)).select("b", "a")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -271,22 +304,19 @@ def similar(docs: DataFrame, words: int = 5) -> DataFrame:
     release(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((common, place))
 
-    @F.arrow_udf("struct<node:long,n:int,bits:array<long>,keys:array<long>>")
+    @F.arrow_udf("struct<node:long,n:int,bits:array<long>,odd:array<long>,keys:array<long>>")
     def described(texts: pa.Array) -> pa.Array:
-        found = list(zip(*[_described(t, words, *shared.value) for t in texts.to_pylist()])) or [()] * 4
-        kinds = {"node": pa.int64(), "n": pa.int32(), "bits": pa.list_(pa.int64()), "keys": pa.list_(pa.int64())}
+        found = list(zip(*[_described(t, words, *shared.value) for t in texts.to_pylist()])) or [()] * 5
+        kinds = {"node": pa.int64(), "n": pa.int32(), "bits": pa.list_(pa.int64()), "odd": pa.list_(pa.int64()), "keys": pa.list_(pa.int64())}
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(found, kinds.values())], list(kinds))
 
-    rows = cut(docs.select("doc_id", F.xxhash64("text").alias("h_text"), described("text").alias("s")).select("doc_id", "h_text", "s.*"), "shingled")
-    members = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("node", "n", F.posexplode("keys").alias("pos", "key"))
-    parts = 1 + int(rows.agg(F.sum(F.size("keys"))).first()[0] or 0) // PART_KEYS  # so many as keep a task's keys in memory
-    members = members.repartition(parts, "key")
-    several = members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key")
-    entries = cut(members.join(several.hint("shuffle_hash"), "key"), "similar-entries")
-    del members, several
-    release(docs.sparkSession)
-
-    sets = cut(rows.groupBy("node").agg(F.first("bits").alias("bits")), "similar-fingerprints")
+    with passing(docs.sparkSession, 2 + SHARES):
+        with passing(docs.sparkSession, 3):
+            found = cut(docs.select("doc_id", F.xxhash64("text").alias("h_text"), described("text").alias("s")).select("doc_id", "h_text", "s.*"), "shingled")
+            distinct = cut(found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "bits", "odd", "keys")]), "similar-distinct")
+            rows = cut(found.select("doc_id", "h_text", "node"), "similar-rows")
+            sets = cut(distinct.select("node", "n", "bits", "odd"), "similar-fingerprints")
+        entries = _entries(distinct)
     fps = sets.select("node", F.col("bits")[0].alias("fp"))
     near = links(fps.select("fp").distinct())
     lows = fps.groupBy("fp").agg(F.min("node").alias("low"))  # of sets with one fingerprint, the smallest stands for them here
@@ -297,19 +327,22 @@ def similar(docs: DataFrame, words: int = 5) -> DataFrame:
         linked = cut(_verified(first, rows, docs, words), "similar-links")
     release(docs.sparkSession)
 
-    def grouped(labels: DataFrame, linked: DataFrame) -> DataFrame:
-        degrees = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        known = sets.join(labels, "node", "left").join(degrees, "node", "left").withColumns({"component": F.coalesce("component", "node"), "degree": F.coalesce("degree", F.lit(0))})
+    folded = F.array(*[reduce(F.Column.bitwiseXOR, [F.col("odd")[j] for j in range(k, ODD // 64, ODD_JOINED // 64)]) for k in range(ODD_JOINED // 64)])
+
+    def grouped(labels: DataFrame, odd: list[F.Column]) -> DataFrame:
+        known = sets.select("node", "bits", *odd).join(labels, "node", "left").withColumns({"linked": F.col("component").isNotNull(), "component": F.coalesce("component", "node")})
         return cut(entries.join(known, "node"), "similar-grouped")
 
     for nth in range(AGAIN):
         with passing(docs.sparkSession):
-            again = cut(_stars_again(grouped(connected_components(linked, "similar"), linked), nth), "similar-again")
-            linked = cut(linked.union(_verified(again, rows, docs, words)).distinct(), "similar-links")
+            labels = connected_components(linked, "similar")
+            again = cut(_close(_stars_again(grouped(labels, []), nth), sets), "similar-again")
+            inside = labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+            linked = cut(inside.union(_verified(again, rows, docs, words)), "similar-links")
         release(docs.sparkSession)
     labels = connected_components(linked, "similar")
     with passing(docs.sparkSession):
-        met = cut(_met(grouped(labels, linked)), "similar-met")
+        met = cut(_close(_met(grouped(labels, [folded.alias("odd")])), sets), "similar-met")
     release(docs.sparkSession)
     with passing(docs.sparkSession):
         more = _verified(met, rows, docs, words)

@@ -156,3 +156,36 @@ def test_tables_of_a_finished_round_go(spark):
         files.append(common.cut(files[0].where("id > 0"), "test-passing"))
         paths = [df.inputFiles()[0].removeprefix("file:") for df in files]
     assert [os.path.exists(p) for p in paths] == [False, True] and files[1].count() == 2
+
+
+def test_texts_just_apart_from_a_large_group_are_sorted_out_before_sets_are_compared(spark, monkeypatch):
+    rng, words, looked = random.Random(4), [f"w{j}" for j in range(100)], []
+    places = [rng.sample(range(4, 96), 1) for _ in range(120)] + [[10 + k % 5, 40 + k % 7, 80 - k % 11] for k in range(30)]
+    texts = [" ".join(f"e{k}.{j}" if j in at else w for j, w in enumerate(words)) for k, at in enumerate(places)]
+    real = simhash._verified
+
+    def verified(pairs, *rest):
+        looked.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_verified", verified)
+    group = {r.doc_id: r.group for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [shingles(t) for t in texts]
+    assert not any(similarity(sets[i], sets[j]) >= 0.8 for i in range(120, 150) for j in range(150) if i != j)
+    assert len({group[k] for k in range(120)}) == 1 and len({group[k] for k in range(119, 150)}) == 31
+    assert looked[-1] < 300  # of 30 x 120 pairs and more
+
+
+def test_parities_lose_no_pair(spark):
+    rng, sets, pairs = random.Random(6), [], []
+    for k in range(400):
+        every = [rng.getrandbits(63) for _ in range(rng.choice([1, 9, 90, 900, 5000]))]
+        share = rng.choice([0.02, 0.08, 0.11, 0.3])
+        for _ in "ab":
+            own = simhash.np.array(sorted(x for x in every if rng.random() >= share) or every[:1], simhash.np.uint64)
+            sets.append((len(sets), len(own), [0] * 4, simhash._odd(own), {*own.tolist()}))
+        pairs.append((2 * k, 2 * k + 1))
+    frame = spark.createDataFrame([s[:4] for s in sets], "node long, n int, bits array<long>, odd array<long>")
+    kept = {(r.a, r.b) for r in simhash._close(spark.createDataFrame(pairs, "a long, b long"), frame).collect()}
+    near = {(a, b) for a, b in pairs if similarity(sets[a][4], sets[b][4]) >= 0.8}
+    assert near <= kept and len(pairs) - len(kept) > 50
