@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftframe.functions import geometry as G
 from driftframe.functions.constants import ELEMENTS
-from driftframe.model import Trajectory, atoms_of_types
+from driftframe.model import Trajectory, atoms_of_types, inline, small
 from driftframe.sources.text import NUMBER, number, numbered, words
 
 _SEPARATOR = "ITEM: TIMESTEP\n"
@@ -81,11 +81,12 @@ def _cell_columns(lines: Column, correct_tilt: bool) -> list[Column]:
     return [a, zero, zero, xy, b, zero, xz, yz, c]
 
 
-def read_frames(spark: SparkSession, path: str, skip: int = 0, istep: int = 1, correct_tilt: bool = False) -> tuple[Header, DataFrame]:
+def read_frames(spark: SparkSession, path: str, skip: int = 0, istep: int = 1, correct_tilt: bool = False, partial: bool = False) -> tuple[Header, DataFrame]:
     """The header of the first frame, and (step, raw_timestep, ax..cz, rows) per frame used, of one dump file or of several in order.
 
     Frames are those with number >= skip that ``istep`` divides, numbered anew from 0. From the first
-    frame on whose number of atoms differs, frames are left out.
+    frame on whose number of atoms differs, frames are left out; ``partial`` keeps those that have as
+    many rows as they say.
     """
     records = numbered(spark, path, _SEPARATOR)
     first = records.where("line = 0").select("value").first()
@@ -95,13 +96,15 @@ def read_frames(spark: SparkSession, path: str, skip: int = 0, istep: int = 1, c
     lines = F.split("value", "\n", -1)
     nat = F.regexp_extract(F.get(lines, F.lit(2)), r"\d+", 0)
     frames = records.select(F.col("line").alias("frame"), lines.alias("lines"), nat.cast("int").alias("nat"))
-    bad = frames.where(~F.col("nat").eqNullSafe(F.lit(header.nat)) | (F.size("lines") < 8 + header.nat)).agg(F.min("frame")).first()[0]
+    other = F.col("nat").isNull() if partial else ~F.col("nat").eqNullSafe(F.lit(header.nat))
+    last = words(F.get("lines", 7 + F.col("nat")))
+    bad = frames.where(other | (F.coalesce(F.size(last), F.lit(0)) < len(header.columns))).agg(F.min("frame")).first()[0]
     good = frames if bad is None else frames.where(F.col("frame") < bad)
     used = good.where((F.col("frame") >= skip) & (F.col("frame") % istep == 0))
     start = -(-skip // istep)
     cells = [c.alias(n) for c, n in zip(_cell_columns(F.col("lines"), correct_tilt), G.CELL)]
     raw = F.trim(F.get("lines", F.lit(0))).cast("long")
-    return header, used.select((F.col("frame") / istep - start).cast("long").alias("step"), raw.alias("raw_timestep"), *cells, F.slice("lines", 9, header.nat).alias("rows"))
+    return header, used.select((F.col("frame") / istep - start).cast("long").alias("step"), raw.alias("raw_timestep"), *cells, F.slice("lines", F.lit(9), F.col("nat")).alias("rows"))
 
 
 def resolve_types(header: Header, first: Sequence[Sequence[str]], elements: Sequence[str] | None = None, elements_file: str | None = None, types: Sequence[str] | None = None, mass_types: Mapping[int, float] | None = None) -> list[str]:
@@ -141,14 +144,15 @@ def read_dump(
     spark: SparkSession, path: str, elements: Sequence[str] | None = None, elements_file: str | None = None, types: Sequence[str] | None = None,
     timestep: float | None = None, mass_types: Mapping[int, float] | None = None, thermo_file: str | None = None, thermo_pe: str | None = None,
     thermo_stress: Sequence[str] | None = None, thermo_keywords: Sequence[str] = (), ignore_forces: bool = False, ignore_velocities: bool = False,
-    skip: int = 0, f_conv: float = 1.0, e_conv: float = 1.0, s_conv: float = 1.0, additional_columns: Sequence[str] = (), istep: int = 1, correct_tilt: bool = False,
+    skip: int = 0, f_conv: float = 1.0, e_conv: float = 1.0, s_conv: float = 1.0, additional_columns: Sequence[str] = (), istep: int = 1, correct_tilt: bool = False, partial: bool = False,
 ) -> Trajectory:
     """A dump file, or a folder of them, as a Trajectory with cells, and, from a thermo file, energies, stress and other columns per step.
 
     Scaled positions are multiplied by the cell; nothing is unwrapped or moved by the box's origin;
-    velocities have no factor. ``timestep`` is that between the frames used, in fs.
+    velocities have no factor. ``timestep`` is that between the frames used, in fs. With ``partial`` frames
+    may lack atoms: the atoms are all ids of the frames used, and a frame has rows of those it holds.
     """
-    header, frames = read_frames(spark, path, skip, istep, correct_tilt)
+    header, frames = read_frames(spark, path, skip, istep, correct_tilt, partial)
     style, names = header.positions
     if missing := [c for c in additional_columns if c not in header.columns]:
         raise DumpError(f"no columns {missing}")
@@ -157,6 +161,12 @@ def read_dump(
         raise DumpError("the dump has no column id")
     parsed = F.array_sort(F.transform("rows", lambda line: F.struct(F.get(words(line), F.lit(at["id"])).cast("long").alias("id"), words(line).alias("w"))))
     rows = frames.select("step", "raw_timestep", *G.CELL, F.posexplode(parsed).alias("atom_idx", "row"))
+    if partial:
+        rows, first = _by_id(rows, header.nat)
+        header = replace(header, nat=len(first))
+    else:
+        first = frames.orderBy("step").limit(1).select(F.transform(parsed, lambda r: r["w"]).alias("w")).first()
+        first = first and first.w
     value = lambda c: number(F.get(F.col("row.w"), F.lit(at[c])))
     position = [value(n) for n in names]
     if style == "s":
@@ -169,16 +179,24 @@ def read_dump(
     columns |= {c: value(c) for c in additional_columns}
     zero = F.lit(0).alias("traj_id")
     table = rows.select(zero, "step", F.col("atom_idx").cast("int"), *[c.alias(n) for n, c in columns.items()])
-    first = frames.orderBy("step").limit(1).select(F.transform(parsed, lambda r: r["w"]).alias("w")).first()
-    if first is None:
+    if not first:
         raise DumpError(f"{path}: no frame left")
-    symbols = resolve_types(header, first.w, elements, elements_file, types, mass_types)
+    symbols = resolve_types(header, first, elements, elements_file, types, mass_types)
     steps = frames.select(zero, "step", "raw_timestep")
     if thermo_file is not None:
         steps = with_thermo(steps, read_thermo(spark, thermo_file), thermo_pe, thermo_stress, thermo_keywords, e_conv, s_conv)
     return Trajectory(table, atoms_of_types(spark, symbols), timestep or 1.0, None, frames.select(zero, "step", *G.CELL), steps)
 
 
+def _by_id(rows: DataFrame, nat: int) -> tuple[DataFrame, list[list[str]]]:
+    """``rows`` with atoms numbered by the order of all ids, and each atom's words in the first frame that has it; a row for each atom reaches the driver."""
+    rows = rows.withColumn("id", F.col("row.id"))
+    seen = small(rows.groupBy("id").agg(F.min("step").alias("step")), nat)
+    first = sorted(rows.join(seen, ["id", "step"]).select("id", "row.w").collect())
+    table = inline(rows.sparkSession, [(i, r.id) for i, r in enumerate(first)], "atom_idx int, id long")
+    return rows.drop("atom_idx").join(small(table, len(first)), "id"), [r.w for r in first]
+
+
 def read_thermo(spark: SparkSession, path: str) -> DataFrame:
     """A thermo table: line 1 is skipped, line 2 starts with # and names the columns; of a repeated first column the first row stays."""
     rows = numbered(spark, path, single=True)

@@ -58,6 +58,17 @@ def test_dump_ends_where_atoms_change(spark, tmp_path):
         lammps.read_dump(spark, dump(tmp_path / "n", [], "id"))
 
 
+def test_dump_frames_that_lack_atoms(spark, tmp_path):
+    a, b, c = (7, 1, 0, 0, 1), (2, 2, 0, 0, 2), (5, 3, 0, 0, 3)
+    path = dump(tmp_path / "l", [(0, [c, b]), (1, [a, b, c]), (2, []), (3, [c]), (4, [a, b])], "id type x y z")
+    with open(tmp_path / "l", "a") as f:  # a frame that the file cuts short
+        f.write("ITEM: TIMESTEP\n5\nITEM: NUMBER OF ATOMS\n2\nITEM: BOX BOUNDS pp pp pp\n0 2\n0 4\n-1 7\nITEM: ATOMS id type x y z\n7 1 0 0 1\n")
+    t = lammps.read_dump(spark, path, elements=["H", "O", "Li"], partial=True)
+    assert [(r.atom_idx, r.type) for r in t.atoms.orderBy("atom_idx").collect()] == [(0, "O"), (1, "Li"), (2, "H")]
+    assert sorted((r.step, r.atom_idx, r.z) for r in t.frames.collect()) == [(0, 0, 2), (0, 1, 3), (1, 0, 2), (1, 1, 3), (1, 2, 1), (3, 1, 3), (4, 0, 2), (4, 2, 1)]
+    assert [r.raw_timestep for r in t.steps.orderBy("step").collect()] == [0, 1, 2, 3, 4]
+
+
 def test_frames_of_many_splits(spark, tmp_path):
     frames = [(k % 50, [(1, 1, k, 0, 0)]) for k in range(3000)]  # timesteps repeat: only the file's order tells
     path = dump(tmp_path / "big", frames, "id type x y z")
