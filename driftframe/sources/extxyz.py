@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftframe.functions import geometry as G
 from driftframe.functions.constants import BOHR_IN_ANGSTROM, NUMBERS
-from driftframe.model import Trajectory, atoms_of_types, small
+from driftframe.model import Trajectory, atoms_of_types, inline, small
 from driftframe.sources.text import number, numbered, running_total, words, write_single
 
 _PROPERTIES = re.compile(r'Properties=("?)(\S+?)\1(?:\s|$)')
@@ -27,10 +27,30 @@ def blocks(spark: SparkSession, path: str, head: int, nat: int) -> DataFrame:
     return lines.where(step < whole).select(step.alias("step"), (F.col("line") % size).cast("int").alias("row"), words("value").alias("w"), "value")
 
 
-def read_extxyz(spark: SparkSession, path: str, timestep_fs: float = 1.0) -> Trajectory:
+def _varying(spark: SparkSession, path: str, width: int, symbol: int, ident: int) -> tuple[DataFrame, DataFrame]:
+    """Of frames of any number of lines: (step, value) of the comment lines, which all name Properties, and (step, id, symbol, w) of the atoms.
+
+    A last frame that the file cuts short is left out.
+    """
+    comment = F.col("value").contains("Properties=")
+    lines = running_total(numbered(spark, path), comment.cast("int"), "before").withColumn("w", words("value"))
+    comments = lines.where(comment).select(F.col("before").alias("step"), "value")
+    heads = lines.where(~comment & (F.size("w") == 1))
+    last = heads.agg(F.max("before").alias("step"), F.max("line").alias("line"), F.max_by(F.get("w", F.lit(0)), "line").cast("int").alias("n"), F.countDistinct("before").alias("steps"), F.count("*").alias("heads")).first()
+    end = lines.where((F.col("line") > last.line) & (F.size("w") > 0)).agg(F.count("*").alias("lines"), F.count_if(comment).alias("comments"), F.count_if(~comment & (F.size("w") >= width)).alias("atoms")).first()
+    if not last.heads == last.steps == last.step + 1 or end.lines > 1 and not end.comments:
+        raise ValueError(f"{path}: frames whose comment lines don't name Properties")
+    whole = bool(end.comments) and end.atoms >= last.n
+    kept = F.lit(True) if whole else F.col("line") < last.line
+    body = lines.where(kept & ~comment & (F.size("w") > 1)).select((F.col("before") - 1).alias("step"), F.get("w", F.lit(ident)).cast("long").alias("id"), F.get("w", F.lit(symbol)).alias("symbol"), "w")
+    return comments.where(F.col("step") < last.step + whole), body
+
+
+def read_extxyz(spark: SparkSession, path: str, timestep_fs: float = 1.0, partial: bool = False) -> Trajectory:
     """Frames of one constant set of atoms, which are ordered by atomic number, ties as in the file.
 
     Lattice="..." of the comment lines gives the cells. Velocities and forces are read as they are.
+    With ``partial`` frames may lack atoms: a column id tells the atoms, and ties are ordered by it.
     """
     top = {r.line: r.value for r in numbered(spark, path).where("line < 2").collect()}
     nat, comment = int(top[0]), top[1]
@@ -41,16 +61,26 @@ def read_extxyz(spark: SparkSession, path: str, timestep_fs: float = 1.0) -> Tra
         names = _NAMES.get(name) or ((name,) if width == 1 else tuple(f"{name}{i}" for i in range(width)))
         at |= {n: place + i for i, n in enumerate(names)}
         place += width
-    rows = blocks(spark, path, 2, nat)
-    body = rows.where("row >= 2")
-    symbols = [r.s for r in body.where("step = 0").orderBy("row").select(F.get("w", F.lit(at["symbol"])).alias("s")).collect()]
-    order = sorted(range(nat), key=lambda i: NUMBERS.get(symbols[i], 0))
-    place_of = F.array(*[F.lit(order.index(i)) for i in range(nat)]) if nat <= 1000 else None
-    if place_of is None:
-        table = spark.createDataFrame([(2 + old, new) for new, old in enumerate(order)], "row int, atom_idx int")
-        body = body.join(small(table, nat), "row")
+    if partial:
+        if "id" not in at:
+            raise ValueError(f"{path}: frames that lack atoms need a column id")
+        comments, body = _varying(spark, path, place, at["symbol"], at.pop("id"))
+        seen = sorted((NUMBERS.get(r.symbol, 0), r.id, r.symbol) for r in body.select("id", "symbol").distinct().collect())
+        if len({i for _, i, _ in seen}) < len(seen):
+            raise ValueError(f"{path}: an id has several species")
+        symbols, order = [s for _, _, s in seen], range(len(seen))
+        body = body.join(small(inline(spark, [(k, i) for k, (_, i, _) in enumerate(seen)], "atom_idx int, id long"), len(seen)), "id")
     else:
-        body = body.withColumn("atom_idx", F.get(place_of, F.col("row") - 2))
+        rows = blocks(spark, path, 2, nat)
+        comments, body = rows.where("row = 1"), rows.where("row >= 2")
+        symbols = [r.s for r in body.where("step = 0").orderBy("row").select(F.get("w", F.lit(at["symbol"])).alias("s")).collect()]
+        order = sorted(range(nat), key=lambda i: NUMBERS.get(symbols[i], 0))
+        place_of = F.array(*[F.lit(order.index(i)) for i in range(nat)]) if nat <= 1000 else None
+        if place_of is None:
+            table = spark.createDataFrame([(2 + old, new) for new, old in enumerate(order)], "row int, atom_idx int")
+            body = body.join(small(table, nat), "row")
+        else:
+            body = body.withColumn("atom_idx", F.get(place_of, F.col("row") - 2))
     kinds = dict(zip(fields[::3], fields[1::3]))
     columns = {n: number(F.get("w", F.lit(i))) for n, i in at.items() if n != "symbol" and kinds.get(n, "R") in "RI"}
     traj_id = F.lit(0).alias("traj_id")
@@ -58,17 +88,17 @@ def read_extxyz(spark: SparkSession, path: str, timestep_fs: float = 1.0) -> Tra
     cells = None
     if "Lattice=" in comment:
         lattice = words(F.regexp_extract("value", r'Lattice="([^"]*)"', 1))
-        cells = rows.where("row = 1").select(traj_id, "step", *[number(F.get(lattice, F.lit(i))).alias(n) for i, n in enumerate(G.CELL)])
+        cells = comments.select(traj_id, "step", *[number(F.get(lattice, F.lit(i))).alias(n) for i, n in enumerate(G.CELL)])
     return Trajectory(frames, atoms_of_types(spark, [symbols[i] for i in order]), timestep_fs, None, cells)
 
 
-def write_extxyz(traj: Trajectory, path: str) -> None:
-    """One file, frames in order, with positions, velocities and forces where they are."""
+def write_extxyz(traj: Trajectory, path: str, partial: bool = False) -> None:
+    """One file, frames in order, with positions, velocities and forces where they are, and with ids from 1 if steps may lack atoms (``partial``)."""
     groups = [(n, c) for n, c in (("pos", G.AXES), ("velo", ("vx", "vy", "vz")), ("forces", ("fx", "fy", "fz"))) if set(c) <= set(traj.frames.columns)]
-    properties = "species:S:1:" + ":".join(f"{n}:R:3" for n, _ in groups)
+    properties = "species:S:1:" + ":".join(f"{n}:R:3" for n, _ in groups) + ":id:I:1" * partial
     columns = [c for _, names in groups for c in names]
     rows = traj.frames.join(small(traj.atoms.select("traj_id", "atom_idx", "type"), traj.nat), ["traj_id", "atom_idx"])
-    body = rows.select("traj_id", "step", (F.col("atom_idx") + 2).alias("row"), F.concat_ws(" ", F.rpad("type", 2, " "), *[F.format_string("%20.12f", c) for c in columns]).alias("value"))
+    body = rows.select("traj_id", "step", (F.col("atom_idx") + 2).alias("row"), F.concat_ws(" ", F.rpad("type", 2, " "), *[F.format_string("%20.12f", c) for c in columns], *([F.col("atom_idx") + 1] if partial else [])).alias("value"))
     per_step = traj.with_cell(traj.frames.groupBy("traj_id", "step").agg(F.count("*").alias("n"))) if traj.cell or traj.cells is not None else traj.frames.groupBy("traj_id", "step").agg(F.count("*").alias("n"))
     lattice = F.concat(F.lit('Lattice="'), F.concat_ws(" ", *[G.column(v).cast("string") for row in traj.cell_columns() for v in row]), F.lit('" ')) if traj.cell or traj.cells is not None else F.lit("")
     heads = per_step.select("traj_id", "step", F.explode(F.array(F.struct(F.lit(0).alias("row"), F.col("n").cast("string").alias("value")), F.struct(F.lit(1).alias("row"), F.concat(lattice, F.lit(f"Properties={properties}")).alias("value")))).alias("h"))

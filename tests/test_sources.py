@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from helpers import array_of, trajectory
@@ -154,6 +156,37 @@ def test_extxyz_and_blocks(spark, tmp_path):
     assert extxyz.shifted(back, (1, 0, 0)).frames.agg(F.sum("x")).first()[0] == pytest.approx(pos[:, :, 0].sum() + 12)
 
 
+def test_extxyz_frames_that_lack_atoms(spark, tmp_path):
+    pos = RNG.normal(size=(40, 4, 3))
+    t = trajectory(spark, pos, ["O", "H", "Li", "H"], cells=np.array([np.eye(3) * (k + 1.0) for k in range(40)]))
+    short = replace(t, frames=t.frames.where("not (step = 0 and atom_idx = 1 or step = 7 and atom_idx < 3 or step = 39 and atom_idx in (0, 2))"))
+    extxyz.write_extxyz(short, f"file://{tmp_path}/t.extxyz", partial=True)
+    path = tmp_path / "cut.extxyz"
+    path.write_text((tmp_path / "t.extxyz").read_text() + "2\nProperties=species:S:1:pos:R:3:id:I:1\nH 0 0 0 2\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        back = extxyz.read_extxyz(spark, f"file://{path}", partial=True)
+        order = [1, 3, 2, 0]
+        want = {(s, order.index(a)): tuple(pos[s, a]) for s in range(40) for a in range(4) if not (s == 0 and a == 1 or s == 7 and a < 3 or s == 39 and a in (0, 2))}
+        assert [r.type for r in back.atoms.orderBy("atom_idx").collect()] == ["H", "H", "Li", "O"]
+        got = {(r.step, r.atom_idx): (r.x, r.y, r.z) for r in back.frames.collect()}
+        assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
+        assert sorted((r.step, r.ax) for r in back.cells.collect()) == [(k, k + 1.0) for k in range(40)]
+        with open(path, "a") as f:
+            f.write("H 0 0 0 4\n1\nLattice=\"1 0")
+        more = extxyz.read_extxyz(spark, f"file://{path}", partial=True).frames
+        assert more.count() == len(want) + 2 and more.where("step = 40 and atom_idx < 2").count() == 2
+        with open(path, "a") as f:
+            f.write("\nH 0 0 0 1\n")
+        with pytest.raises(ValueError, match="don't name Properties"):
+            extxyz.read_extxyz(spark, f"file://{path}", partial=True)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    extxyz.write_extxyz(t, f"file://{tmp_path}/t.extxyz")
+    with pytest.raises(ValueError, match="column id"):
+        extxyz.read_extxyz(spark, f"file://{tmp_path}/t.extxyz", partial=True)
+
+
 def test_forces(spark, tmp_path):
     (tmp_path / "f1").write_text("text\n  Li 1.0 2.0 -3e-1\nO 1 1 1\nLi .5 0. +4\n")
     (tmp_path / "f2").write_text("Li 0.5 0.5 0.5 9\nLi 1 1 1 9\n")
