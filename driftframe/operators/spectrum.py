@@ -72,13 +72,27 @@ def power_spectrum(traj: Trajectory, array: str = "velocities", species: list[st
         out = out.withColumn("psd", F.sum("psd").over(near) / smothening)
     out = out.join(table, "traj_id")
     if mix_blocks:
-        # a window of as many blocks as there are, centred like an even or odd kernel
-        b, n = F.col("block"), F.col("__blocks")
-        given = out.select("traj_id", "species", "k", "psd", "__size", "__blocks", F.explode(F.sequence(F.greatest(F.lit(0), b - F.floor((n - 1) / 2).cast("int")), F.least(n - 1, b + F.floor(n / 2).cast("int")))).alias("block"))
-        out = given.groupBy("traj_id", "species", "block", "k", "__size", "__blocks").agg(F.sum("psd").alias("psd"))
+        out = _mixed(out)
     return out.select("species", "traj_id", "block", "k", (F.col("k") * F.lit(fs) / F.col("__size")).alias("freq_thz"), "psd")
 
 
+def _mixed(out: DataFrame) -> DataFrame:
+    """Sums over a window of as many blocks as there are, centred like an even or odd kernel: blocks b - n // 2 to b + (n - 1) // 2.
+
+    Such a window reaches the first block (b <= n // 2) or the last one, so a sum is a running total from that
+    end. A row is a value for the totals from both ends, and asks one of them for its sum: three rows for each.
+    """
+    b, n = F.col("block"), F.col("__blocks")
+    half, rest = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    value = [F.struct(at.alias("at"), F.lit(end).alias("end"), F.col("psd").alias("v"), F.lit(None).cast("int").alias("block")) for end, at in enumerate((b, -b))]
+    asked = F.when(b <= half, F.struct((b + rest).alias("at"), F.lit(0).alias("end"))).otherwise(F.struct((half - b).alias("at"), F.lit(1).alias("end")))
+    asks = F.struct(asked["at"].alias("at"), asked["end"].alias("end"), F.lit(None).cast("double").alias("v"), b.alias("block"))
+    keys = ["traj_id", "species", "k", "__size", "__blocks"]
+    rows = out.select(*keys, F.explode(F.array(*value, asks)).alias("r")).select(*keys, "r.*")
+    so_far = Window.partitionBy(*keys, "end").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("psd", F.sum("v").over(so_far)).where(F.col("block").isNotNull()).select(*keys, "block", "psd")
+
+
 def spectrum_stats(spectrum: DataFrame) -> DataFrame:
     """(species, k, freq_thz, mean, std, sem) over trajectories and blocks, where all have the same frequency at k.
 

@@ -4,6 +4,7 @@ from helpers import msd, trajectory, vaf
 
 from driftframe.analyzer import DynamicsAnalyzer
 from driftframe.functions.constants import KINETIC_FACTOR
+from driftframe.model import combined
 from driftframe.operators.msd import msd_blocks
 from driftframe.operators.spectrum import power_spectrum
 from driftframe.params import InputError
@@ -181,6 +182,27 @@ def test_smoothing(traj, m):
     assert np.allclose(grid(mixed), both)
 
 
+@pytest.mark.parametrize("length", [60, 30, 12, 5, 4])
+def test_mixed_blocks_are_running_totals(traj, length):
+    raw, mixed = (power_spectrum(traj, species=["H"], block_length=length, mix_blocks=mix) for mix in (False, True))
+    n, width = 60 // length, length // 2 + 1
+    grid = lambda df: np.array([r.psd for r in df.orderBy("block", "k").collect()]).reshape(n, width)
+    assert np.allclose(grid(mixed), np.array([np.convolve(column, np.ones(n), "same") for column in grid(raw).T]).T)
+    # no row is given to each block of its window: the work is a sort of three rows for each
+    assert "sequence(" not in mixed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mixed_blocks_of_trajectories_of_different_lengths(spark):
+    v = RNG.normal(size=(60, 2, 3))
+    t = combined([trajectory(spark, v[:m], ["H", "H"], v[:m]) for m in (60, 36)])
+    found = power_spectrum(t, block_length=12, mix_blocks=True)
+    raw = {(r.traj_id, r.block, r.k): r.psd for r in power_spectrum(t, block_length=12).collect()}
+    for r in found.collect():
+        n = (5, 3)[r.traj_id]
+        assert np.isclose(r.psd, sum(raw[r.traj_id, b, r.k] for b in range(n) if r.block - n // 2 <= b <= r.block + (n - 1) // 2))
+    assert found.count() == len(raw)
+
+
 def test_a_sine_has_one_peak(spark):
     t = np.arange(200)
     v = np.sin(2 * np.pi * t / 10)[:, None, None] * np.ones((1, 2, 3))
