@@ -68,17 +68,34 @@ def running_total(rows: DataFrame, amount: Column, name: str) -> DataFrame:
 
 
 def write_single(lines: DataFrame, path: str, order: list[str]) -> None:
-    """Writes column ``value`` of ``lines`` as one text file at ``path``, ordered; one task streams the sorted partitions."""
+    """Writes column ``value`` of ``lines`` as one text file at ``path``, ordered.
+
+    Tasks write the sorted partitions side by side, a file each; their bytes are then copied one after the other through a small buffer.
+    """
     spark = lines.sparkSession
     folder = f"{path}.{uuid.uuid4().hex}"
-    lines.orderBy(*order).select("value").coalesce(1).write.text(folder)
-    jvm = spark._jvm
-    store = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    part = next(f.getPath() for f in store.listStatus(jvm.org.apache.hadoop.fs.Path(folder)) if f.getPath().getName().startswith("part-"))
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    lines.orderBy(*order).select("value").write.option("compression", "none").text(folder)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path
+    store = place(path).getFileSystem(conf)
+    parts = sorted((f.getPath() for f in store.listStatus(place(folder)) if f.getPath().getName().startswith("part-")), key=lambda p: _in_order(p.getName()))
+    whole = parts[0] if len(parts) == 1 else place(f"{folder}/whole")
+    if len(parts) != 1:
+        out = store.create(whole)
+        try:
+            for part in parts:
+                source = store.open(part)
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+                finally:
+                    source.close()
+                store.delete(part, False)
+        finally:
+            out.close()
+    target = place(path)
     store.delete(target, False)
-    store.rename(part, target)
-    store.delete(jvm.org.apache.hadoop.fs.Path(folder), True)
+    store.rename(whole, target)
+    store.delete(place(folder), True)
 
 
 def wrapped_lines(values: DataFrame, text: Column, per_line: int) -> DataFrame:

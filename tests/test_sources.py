@@ -124,6 +124,29 @@ def test_xsf(spark, tmp_path):
         xsf.read_xsf(spark, f"file://{tmp_path}/none")
 
 
+def test_single_files_of_many_sorted_parts(spark, tmp_path):
+    from driftframe.sources.text import write_single
+
+    n = 20_000
+    rows = spark.range(n, numPartitions=7).select(F.col("id"), F.when(F.col("id") % 100 == 7, "").otherwise(F.concat(F.lit("é "), F.col("id"))).alias("value")).orderBy(F.hash("id"))
+    stages = spark.sparkContext.statusTracker()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.sparkContext.setJobGroup("single", "")
+    try:
+        write_single(rows, f"file://{tmp_path}/one", ["id"])
+        tasks = [stages.getStageInfo(i).numTasks for j in stages.getJobIdsForGroup("single") for i in stages.getJobInfo(j).stageIds]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert (tmp_path / "one").read_text(encoding="utf-8") == "".join("\n" if k % 100 == 7 else f"é {k}\n" for k in range(n))
+    assert tasks and min(tasks) > 1  # no task sorts all
+    write_single(rows.where("id < 3"), f"file://{tmp_path}/one", ["id"])
+    assert (tmp_path / "one").read_text(encoding="utf-8") == "é 0\né 1\né 2\n"
+    assert sorted(f.name for f in tmp_path.iterdir() if not f.name.endswith(".crc")) == ["one"]
+    write_single(rows.where("id < 0"), f"file://{tmp_path}/none", ["id"])
+    assert (tmp_path / "none").read_text() == ""
+
+
 def test_rdf_table(spark, tmp_path):
     rows = spark.createDataFrame([("a_b", k, k + 0.5, k * 2.0, 1.0) for k in (2, 0, 1)], "label string, bin int, radius double, rdf double, integral double")
     xsf.write_rdf_table(rows, f"file://{tmp_path}/r.dat")
